@@ -4,11 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import mixing, simhash_dedup
-from tidelens.llm._shared import table
+from tidelens.llm import mixing, packing, simhash_dedup, token_files, warc
+from tidelens.llm._shared import scratch, table
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, with_ids=False)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_records(spark, folder, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +39,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op3_warc": op3_warc,
+    "op7_token_files": op7_token_files,
     "op9_pareto_mix": op9_pareto_mix,
     "op10_simhash": op10_simhash,
 }
@@ -65,4 +85,15 @@ SELECT k.doc_id, k.size, k.source_size, k.target,
 FROM k LEFT JOIN picked ON k.source IS NOT DISTINCT FROM picked.source
 """
 
-SQL: dict[str, str] = {"op9_pareto_mix": OP9_SQL}
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), r AS (
+  SELECT *, strlen(html) AS n, max(page_id) OVER (PARTITION BY html) AS response FROM p
+)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> response THEN response END AS refers_to FROM r
+"""
+
+SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op9_pareto_mix": OP9_SQL}
