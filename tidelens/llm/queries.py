@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import mixing, packing, simhash_dedup, token_files, warc
+from tidelens.llm import cover_tree, mixing, nearest, packing, simhash_dedup, token_files, warc
 from tidelens.llm._shared import scratch, table
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"), cos=0.93)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, with_ids=False)
 
@@ -22,6 +26,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, folder, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -39,8 +47,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cover_tree": op1_cover_tree,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
+    "op6_nearest": op6_nearest,
     "op7_token_files": op7_token_files,
     "op9_pareto_mix": op9_pareto_mix,
     "op10_simhash": op10_simhash,
