@@ -40,8 +40,13 @@ def as_uri(path: str) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later stages and lost executors start from there."""
     spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
+    path, clean = scratch(spark, tag), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")  # the write's shuffle files go as soon as it is done
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

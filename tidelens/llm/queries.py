@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import cover_tree, mixing, nearest, packing, simhash_dedup, token_files, warc
+from tidelens.llm import cover_tree, mixing, nearest, packing, simhash_dedup, suffix_dedup, token_files, warc
 from tidelens.llm._shared import scratch, table
 
 
@@ -36,6 +36,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.repeats(table(spark, sf_dir, "documents"), length=400, keep="none")
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", removed.cast("bigint").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op6_nearest": op6_nearest,
     "op7_token_files": op7_token_files,
+    "op8_suffix_repeats": op8_suffix_repeats,
     "op9_pareto_mix": op9_pareto_mix,
     "op10_simhash": op10_simhash,
 }
