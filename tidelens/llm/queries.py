@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import cover_tree, mixing, nearest, packing, simhash_dedup, suffix_dedup, token_files, warc
+from tidelens.llm import cover_tree, mixing, nearest, packing, simhash_dedup, suffix_dedup, token_files, toxicity, warc
 from tidelens.llm._shared import scratch, table
 
 
@@ -26,6 +26,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, folder, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs.select("doc_id", "text"), machine, "score")
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -56,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cover_tree": op1_cover_tree,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
+    "op5_toxicity": op5_toxicity,
     "op6_nearest": op6_nearest,
     "op7_token_files": op7_token_files,
     "op8_suffix_repeats": op8_suffix_repeats,
