@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm import cover_tree, mixing, nearest, packing, simhash_dedup, suffix_dedup, token_files, toxicity, warc
+from tidelens.llm import cover_tree, line_dedup, mixing, nearest, packing, simhash_dedup, suffix_dedup, token_files, toxicity, warc
 from tidelens.llm._shared import scratch, table
 
 
@@ -26,6 +26,19 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, folder, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    gone = line_dedup.removed_lines(docs)
+    out = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")), "left")
+    return out.select(
+        "doc_id",
+        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce(F.array_join(F.transform(F.array_sort("gone"), lambda x: x.cast("string")), ","), F.lit("")).alias("removed"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -63,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cover_tree": op1_cover_tree,
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
+    "op4_fuzzy_lines": op4_fuzzy_lines,
     "op5_toxicity": op5_toxicity,
     "op6_nearest": op6_nearest,
     "op7_token_files": op7_token_files,
