@@ -102,9 +102,11 @@ def finish(decided: DataFrame, opinions: DataFrame, persistence: DataFrame, prot
     open_ = F.col("verdict") == "fail_open"
     back = (F.col("opinion") == "agrees") & (F.col("status") == "attributed") & F.lit(protects)
     drop = (F.col("opinion") == "dissents") & (F.col("status") == "real") & ~open_
-    d = d.withColumn("verdict", F.when(back, "second_opinion_agrees").when(drop, "second_opinion_dissents").otherwise(F.col("verdict")))
-    d = d.withColumn("status", F.when(back, "real").when(drop, "attributed").otherwise(F.col("status")))
-    d = d.withColumn("attributed_to", F.when(back | drop, F.lit(None).cast("string")).otherwise(F.col("attributed_to")))
+    d = d.withColumns({
+        "verdict": F.when(back, "second_opinion_agrees").when(drop, "second_opinion_dissents").otherwise(F.col("verdict")),
+        "status": F.when(back, "real").when(drop, "attributed").otherwise(F.col("status")),
+        "attributed_to": F.when(back | drop, F.lit(None).cast("string")).otherwise(F.col("attributed_to")),
+    })
     lasting = (F.col("window_count") >= 2) | (F.col("recurrences") > 0) | (F.col("shoulder") > 0)
     flicker = ~lasting & (F.col("status") == "real") & (F.col("verdict") != "fail_open")
     again = lasting & (F.col("status") == "attributed") & F.lit(persistence_protects)
