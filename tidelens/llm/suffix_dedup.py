@@ -113,37 +113,51 @@ def _regions(length: int) -> Callable:
 
 def suffix_order(text: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """``starts`` in the order of their group and of the ``length`` bytes from each, equal ones by place, and for each
-    place of that order whether the common prefix with the one before is all of these bytes. By prefix doubling."""
-    padded = np.r_[text, np.zeros(8, np.uint8)]
-    word = np.zeros(len(text), np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | padded[i : i + len(text)]
-    width, rank = 8, _dense(word)
-    while width * 2 <= length:
-        rank, width = _dense((rank << 32) | _shifted(rank, width)), width * 2
-    second = _shifted(rank, length - width)[starts]
-    order = np.lexsort((second, rank[starts], group))
-    a, s, g = rank[starts][order], second[order], group[order]
-    same = np.r_[False, (a[1:] == a[:-1]) & (s[1:] == s[:-1]) & (g[1:] == g[:-1])]
-    return starts[order], same
-
-
-def _shifted(rank: np.ndarray, by: int) -> np.ndarray:
-    return np.r_[rank[by:], np.zeros(by, rank.dtype)] if by else rank
-
-
-def _dense(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key)
-    ordered = key[order]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
-    return rank
-
-
-def previous_smaller(x: np.ndarray) -> np.ndarray:
-    """For each i the last j < i with x[j] < x[i], or -1; by jumps over what is known to be no smaller."""
-    p = np.arange(-1, len(x) - 1)
-    while len(todo := np.flatnonzero((p >= 0) & (x[p] >= x))):
+    place of that order whether the common prefix with the one before is all of these bytes.
+
+    Sorted by the first eight bytes; each set of ties is then split around its first member: by the length of the
+    common prefix with it (a binary search over rolling hashes) and the byte behind, until only equal strings tie.
+    """
+    word, roll = np.zeros(len(starts), np.uint64), Rolling(text)
+    for i in range(min(8, length)):
+        word = (word << np.uint64(8)) | text[starts + i]
+    order = np.lexsort((starts, word, group))
+    starts, g, w = starts[order], group[order], word[order]
+    tie = np.r_[False, (g[1:] == g[:-1]) & (w[1:] == w[:-1])]  # with the one before, on ``known`` bytes
+    known = np.full(len(starts), min(8, length))
+    final = np.zeros(len(starts), bool)
+    todo = np.flatnonzero(tie | np.r_[tie[1:], False])
+    while len(todo):
+        head = ~tie[todo]
+        first = np.maximum.accumulate(np.where(head, np.arange(len(todo)), 0))
+        at, pivot, low = starts[todo], starts[todo][first], known[todo]
+        high = np.full(len(todo), length)
+        while True:  # the common prefix lies in [low, high]
+            middle = (low + high + 1) // 2
+            if (low == high).all():
+                break
+            same = roll(at, at + middle) == roll(pivot, pivot + middle)
+            low, high = np.where(same, middle, low), np.where(same | (low == high), high, middle - 1)
+        whole = low == length
+        behind = np.minimum(low, length - 1)
+        own, mid = text[at + behind].astype(np.int64), text[pivot + behind].astype(np.int64)
+        size = 256 * (length + 1)
+        place = np.where(whole, size, np.where(own < mid, low * 256 + own, size + 1 + (length - low) * 256 + own))
+        # Sets are contiguous, and so are their places in the order: sort inside each.
+        into = np.lexsort((at, place, first))
+        starts[todo], known[todo], final[todo] = at[into], low[into] + 1, whole[into]
+        place, first = place[into], first[into]
+        tie[todo] = np.r_[False, (place[1:] == place[:-1]) & (first[1:] == first[:-1])]
+        open_ = ~final[todo] & (tie[todo] | np.r_[tie[todo][1:], False])
+        todo = todo[open_]
+    return starts, tie
+
+
+def previous_smaller(x: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """For each i the last j < i of its run with x[j] < x[i], or -1; by jumps over what is known to be no smaller."""
+    p = np.where(np.r_[False, run[1:] == run[:-1]], np.arange(-1, len(x) - 1), -1)
+    todo = np.flatnonzero(p >= 0)
+    while len(todo := todo[(p[todo] >= 0) & (x[p[todo]] >= x[todo])]):
         p[todo] = p[p[todo]]
     return p
 
@@ -151,14 +165,11 @@ def previous_smaller(x: np.ndarray) -> np.ndarray:
 def previous_factor(order: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each place of the suffix order whether the longest previous factor, and whether the longest next one, has
     the full length. The previous factor of a suffix starts at the previous or the next smaller start in suffix
-    order; its length is the least common prefix on the way there, full if both lie in one run of ``same``."""
+    order; its length is the least common prefix on the way there, full only if both lie in one run of ``same``."""
     run = np.cumsum(~same)
 
     def reach(x: np.ndarray) -> np.ndarray:
-        before = previous_smaller(x)
-        behind = len(x) - 1 - previous_smaller(x[::-1])[::-1]
-        hit = (before >= 0) & (run[before] == run)
-        return hit | ((behind < len(x)) & (run[np.minimum(behind, len(x) - 1)] == run))
+        return (previous_smaller(x, run) >= 0) | (previous_smaller(x[::-1], run[::-1])[::-1] >= 0)
 
     return reach(order), reach(-order)
 
