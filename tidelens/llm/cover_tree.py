@@ -150,7 +150,7 @@ def _compare(cos: float) -> Callable:
                             edges.append((i[r], j[c]))
 
         if own is not None:
-            if pdf["within"].iloc[0]:
+            if pdf["within"].any():
                 for i, j, whole in dual(own, own, within):
                     take(ours[i], ours[j], whole, True)
             if len(others):
