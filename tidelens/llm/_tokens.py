@@ -4,46 +4,40 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
-#: Pieces remembered in each of two generations, and the longest piece worth remembering.
-REMEMBERED, LONGEST = 300_000, 64
+#: Pieces remembered in each of two generations, the longest piece worth remembering, characters of text and words encoded at a time.
+REMEMBERED, LONGEST, TEXT, WORDS = 400_000, 64, 2_000_000, 200
 #: Characters whose class and lower case no library disagrees about.
 PLAIN = bytes([10, *range(32, 127), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
 
 
-class _Pieces(dict):
-    """Piece to ids (little-endian unsigned 32-bit); what is not here is encoded once."""
+def _letters(word: str) -> str:
+    """A word's UTF-8 bytes in the byte-level alphabet: printable Latin-1 bytes are themselves, the others the code points
+    from 256 on in ascending order."""
+    return "".join([ALPHABET[b] for b in word.encode()])
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        super().__init__()
-        self.encode, self.old = encode, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.encode(piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_SELF))}
 
 
 class Encoder:
-    """``encode(text)`` gives what ``Tokenizer.encode(text, add_special_tokens=False).ids`` gives, as bytes.
+    """``encode(texts)`` gives what ``Tokenizer.encode(text, add_special_tokens=False).ids`` gives for each, as bytes
+    (little-endian unsigned 32-bit).
 
     Two kinds of tokenizer cut a plain text at white space before they merge anything: byte-level BPE with its
     own pattern ("spaced": a single space starts a piece and belongs to it) and lower-case BPE with word ends
-    that drops white space ("words"). For these each piece is encoded by the library once and remembered; any
-    other text or tokenizer goes to the library as a whole.
+    that drops white space ("words"). For these the library encodes each new piece, many in one call, and the ids
+    are remembered; any other text or tokenizer goes to the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -51,45 +45,106 @@ class Encoder:
             parts = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.pieces, self.old, self.kind = {}, {}, "other"
+        vocabulary = parts["model"].get("vocab")
         before, norm, end = parts.get("pre_tokenizer") or {}, parts.get("normalizer") or {}, parts["model"].get("end_of_word_suffix")
-        self.kind = "other"
         if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not norm:
-            self.kind, self.pieces = "spaced", _Pieces(self._spaced)
+            self.kind, mark = "spaced", lambda t: t.startswith(("\u0120", "\u010a"))  # a space or a line feed
         elif end and [x["type"] for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in before.get("pretokenizers", [])] == ["Split", "ByteLevel"] and before["pretokenizers"][0]["behavior"] == "Removed":
-            self.kind, self.pieces = "words", _Pieces(self._word)
+            self.kind, mark = "words", lambda t: t.endswith(end)
+        if self.kind != "other":
+            self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.marks[[i for t, i in vocabulary.items() if mark(t)]] = True
+            # The same model behind nothing but a split at spaces, for words already in its alphabet.
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer, self.bare.pre_tokenizer = None, WhitespaceSplit()
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, piece: str) -> bytes:
-        if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha():  # letters and marks never merge
-            return self.pieces[piece[:-1]] + self.pieces[piece[-1]]
-        return self.library(piece)
-
-    def _spaced(self, piece: str) -> bytes:
-        """A piece follows a space, except one that begins with NUL (start of a text) or a line feed."""
+    def _atoms(self, piece: str) -> list[str]:
+        """What a piece's ids are put together from. In a "spaced" text a piece follows a space, except one that begins
+        with NUL (start of a text, or a mark after a letter) or a line feed."""
         lines = piece.split("\n")
-        if len(lines) > 1 and all(lines[1:]) and (lines[0] or len(lines) > 2):
-            return b"".join([self.pieces[lines[0]] if lines[0] else b"", *[self.pieces["\n" + x] for x in lines[1:]]])
-        if len(piece) > 2 and piece[-1] in ",." and piece[-2].isalpha():
-            return self.pieces[piece[:-1]] + self.pieces["\0" + piece[-1]]
-        return self.library(piece[1:] if piece[0] == "\0" else piece if piece[0] == "\n" else " " + piece)
-
-    def encode(self, text: str) -> bytes:
-        if self.kind == "other" or not text:
-            return self.library(text) if text else b""
+        if self.kind == "spaced" and len(lines) > 1 and all(lines[1:]):
+            atoms = [*lines[:1], *["\n" + x for x in lines[1:]]] if lines[0] else ["\n" + x for x in lines[1:]]
+        else:
+            atoms = [piece]
+        mark = "\0" if self.kind == "spaced" else ""
+        return [y for x in atoms for y in ((x[:-1], mark + x[-1]) if len(x) > 1 and x[-1] in ",." and x[-2].isalpha() else (x,))]
+
+    def _joint(self, words: list[str], before: str) -> None:
+        """Ids of words of letters only, each after ``before``: cut where the vocabulary marks a word's start or end."""
+        parts = [words[i : i + WORDS] for i in range(0, len(words), WORDS)]
+        if before == " ":
+            own = "\u0120" if self.kind == "spaced" else ""
+            found = self.bare.encode_batch_fast([" ".join([own + (w if w.isascii() else _letters(w)) for w in p]) for p in parts], add_special_tokens=False)
+        else:
+            found = self.tokenizer.encode_batch_fast([before + before.join(p) for p in parts], add_special_tokens=False)
+        for some, encoding in zip(parts, found, strict=True):
+            ids = np.array(encoding.ids, "<u4")
+            cuts = np.flatnonzero(self.marks[ids]) + (self.kind == "words")
+            edges = [0, *cuts.tolist()] if self.kind == "words" else [*cuts.tolist(), len(ids)]
+            raw = ids.tobytes()
+            if len(edges) != len(some) + 1:
+                raise ValueError("words and marks of the vocabulary do not match")
+            for w, a, b in zip(some, edges, edges[1:], strict=False):
+                self.pieces[w if before == " " else before + w] = raw[4 * a : 4 * b]
+
+    def _learn(self, missing: set[str]) -> None:
+        parts = {p: self._atoms(p) for p in sorted(missing)}
+        new = dict.fromkeys(a for v in parts.values() for a in v if a not in self.pieces)
+        known = [a for a in new if a in self.old]
+        self.pieces.update((a, self.old[a]) for a in known)
+        new = [a for a in new if a not in self.old]
+        self._joint([a for a in new if a.isalpha()], " ")
+        if self.kind == "spaced":
+            # A text's first word has the ids that it has after a line feed, without the line feed's.
+            first = [a[1:] for a in new if a[0] == "\0" and a[1:].isalpha()]
+            self._joint(list(dict.fromkeys([*[a[1:] for a in new if a[0] == "\n" and a[1:].isalpha()], *[w for w in first if "\n" + w not in self.pieces]])), "\n")
+            self.pieces.update(("\0" + w, self.pieces["\n" + w][4:]) for w in first)
+        for a in new:
+            if a not in self.pieces:
+                plain = self.kind == "words" or a[0] == "\n"
+                self.pieces[a] = self.library(a if plain else a[1:] if a[0] == "\0" else " " + a)
+        for p, v in parts.items():
+            if p not in self.pieces:
+                self.pieces[p] = b"".join([self.pieces[a] for a in v])
+
+    def _cut(self, text: str) -> list[str] | None:
+        """A plain text's pieces; none for a text that the library must see as a whole."""
         try:
-            plain = not text.encode("latin-1").translate(None, PLAIN)
+            if self.kind == "other" or text.encode("latin-1").translate(None, PLAIN):
+                return None
         except UnicodeEncodeError:
-            plain = False
-        if not plain:
-            return self.library(text)
+            return None
         if self.kind == "words":
-            return b"".join(map(self.pieces.__getitem__, text.lower().split()))
-        if "  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
-            return self.library(text)
-        first, *rest = text.split(" ")
-        return self.pieces["\0" + first] + b"".join(map(self.pieces.__getitem__, rest))
+            return text.lower().split()
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n":
+            return None
+        return ("\0" + text).split(" ")
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        some, size = [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t)
+            if size > TEXT:
+                yield from self._encoded(some)
+                some, size = [], 0
+        yield from self._encoded(some)
+
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        if len(self.pieces) > REMEMBERED:
+            self.old, self.pieces = self.pieces, {}
+        cut = [self._cut(t) if t else [] for t in texts]
+        missing = set(chain.from_iterable(c for c in cut if c)).difference(self.pieces)
+        self._learn(missing)
+        for t, c in zip(texts, cut, strict=True):
+            yield self.library(t) if c is None else b"".join(map(self.pieces.__getitem__, c))
+        for p in missing:
+            if len(p) > LONGEST:
+                self.pieces.pop(p, None)
 
 
 @cache

@@ -95,8 +95,9 @@ def _packed(tokenizer: str, end_id: int, window: int, with_ids: bool) -> Callabl
 
         rows: list[tuple] = []
         for b in batches:
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
-                rows.extend(packer.add(doc.as_py(), encode(text.as_py() or "") + end))
+            texts = (text.as_py() or "" for text in b.column(1))
+            for doc, ids in zip(b.column(0), encode(texts), strict=True):
+                rows.extend(packer.add(doc.as_py(), ids + end))
                 if len(rows) >= 4096:
                     yield batch(rows)
                     rows = []

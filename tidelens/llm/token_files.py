@@ -35,7 +35,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
     """A dictionary from a bounded sample's serialized ids; empty if there are too few to train one."""
     some = need(docs, "doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE)
     encode = encoder(tokenizer).encode
-    samples = [_narrow(encode(r["text"]) + _id(end_id), width) for r in some.toLocalIterator()]
+    samples = [_narrow(ids + _id(end_id), width) for ids in encode(r["text"] for r in some.toLocalIterator())]
     if sum(map(len, samples)) < 8 * DICTIONARY or len(samples) < 16:
         return b""
     return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
@@ -62,8 +62,8 @@ def _encoded(tokenizer: str, end_id: int, width: int, dictionary: bytes) -> Call
         encode, compress, end = encoder(tokenizer).encode, _compressor(dictionary).compress, _id(end_id)
         for b in batches:
             counts, frames = [], []
-            for text in b.column(1):
-                ids = encode(text.as_py() or "") + end
+            for ids in encode(text.as_py() or "" for text in b.column(1)):
+                ids += end
                 counts.append(len(ids) // 4)
                 frames.append(compress(_narrow(ids, width)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n", "frame"])
