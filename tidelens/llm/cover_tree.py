@@ -14,49 +14,60 @@ from tidelens.llm._graph import components
 from tidelens.llm._shared import materialise, need
 from tidelens.llm._vectors import matrix, pack_doubles, valid
 
-#: Vectors sampled for the cells' centres, vectors a cell should hold, vectors of a block, of a leaf, rounding allowance of a distance.
-SAMPLE, CELL, BLOCK, LEAF, SLACK = 4096, 4096, 2048, 32, 1e-7
+#: Vectors sampled for the cells' centres, vectors a cell should hold, vectors of a block, of a leaf, centres tried a node, points of a child
+#: at least, rounding allowance of a distance.
+SAMPLE, CELL, BLOCK, LEAF, CHILDREN, FEWEST, SLACK = 4096, 4096, 2048, 64, 64, 4, 1e-7
 
 
 class CoverTree:
     """Nested levels over unit vectors. A node's children cover its points within half its level's radius; each
-    node knows its covering radius, the largest distance from its centre to a point below it."""
+    node knows its covering radius, the largest distance from its centre to a point below it.
+
+    At most CHILDREN centres are tried a node. Points around centres that cover fewer than FEWEST, and those left
+    over, are a last child, a leaf about the node's own centre (``rests``): where points have no structure at a radius, a
+    matrix product compares them faster than nodes of one point would.
+    """
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.points, self.leaf = points, leaf
-        self.centre, self.radius, self.members, self.children = [], [], [], []
-        self.root = self._build(np.arange(len(points)), 0, 2.0)
-
-    def _node(self, index: np.ndarray, centre: int) -> int:
-        self.centre.append(centre)
-        self.radius.append(float(_distance(self.points[index], self.points[centre]).max()))
-        self.members.append(index)
-        self.children.append([])
-        return len(self.centre) - 1
-
-    def _build(self, index: np.ndarray, centre: int, radius: float) -> int:
-        top = self._node(index, centre)
-        todo = [(top, radius)]
+        self.centre, self.radius, self.members, self.children, self.rests = [], [], [], [], set()
+        self.root = self._node(np.arange(len(points)), 0)
+        todo = [(self.root, 2.0)]
         while todo:
             node, radius = todo.pop()
-            index = self.members[node]
+            index, at = self.members[node], self.centre[node]
             if len(index) <= self.leaf or self.radius[node] <= SLACK:
                 continue
             radius = min(radius, self.radius[node]) / 2
-            rest, at = index, self.centre[node]
-            while len(rest):
+            rest, alone = index, []
+            for _ in range(CHILDREN):
+                if not len(rest):
+                    break
                 near = _distance(self.points[rest], self.points[at]) <= radius
                 near[rest == at] = True
-                child = self._node(rest[near], at)
-                self.children[node].append(child)
-                todo.append((child, radius))
+                if near.sum() >= FEWEST:
+                    self.children[node].append(self._node(rest[near], at))
+                    todo.append((self.children[node][-1], radius))
+                else:
+                    alone.append(rest[near])
                 rest = rest[~near]
                 at = rest[0] if len(rest) else at
-        return top
+            rest = np.concatenate([*alone, rest])
+            if self.children[node] and len(rest):
+                self.children[node].append(self._node(rest, self.centre[node]))
+                self.rests.add(self.children[node][-1])
+
+    def _node(self, index: np.ndarray, centre: int) -> int:
+        self.centre.append(centre)
+        self.radius.append(float(_distance(self.points[index], self.points[centre]).max()))
+        self.members.append(index)
+        self.children.append([])
+        return len(self.centre) - 1
 
 
 def _distance(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((points - centre) ** 2).sum(axis=-1), 0.0))
+    """Between unit vectors, right to within SLACK."""
+    return np.sqrt(np.maximum(2 - 2 * (points @ centre), 0.0))
 
 
 def dual(a: CoverTree, b: CoverTree, within: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
