@@ -177,4 +177,8 @@ SQL: dict[str, str] = {
     "channel_split": f"WITH {EXAMPLES} SELECT source, split, count(*) AS n FROM ex GROUP BY ALL",
     "dataset_summary": f"WITH {EXAMPLES} SELECT split, symptom, count(*) AS n, count(DISTINCT source) AS sources FROM ex GROUP BY ALL",
     "leakage_check": f"WITH {EXAMPLES} SELECT count(*) AS shared_sources FROM (SELECT source FROM ex GROUP BY source HAVING count(DISTINCT split) > 1)",
+    "stream_windows": f"WITH {M3}, x AS (SELECT *, max(event_ts_ms) OVER (PARTITION BY channel ORDER BY arrival ROWS UNBOUNDED PRECEDING) - {H} AS mark FROM m3), kept AS (SELECT * FROM x WHERE event_ts_ms >= mark), {_windows('kept', 48 * H, 12 * H, 8)} SELECT channel, start_ms, end_ms, n, round(mean + 1e-9, 6) AS mean FROM w",
+    "stream_ledger": f"WITH {CHANNELS} SELECT channel, readings, last_seq, CAST(missing AS BIGINT) AS missing, CAST(duplicates AS BIGINT) AS duplicates, CAST(regressions AS BIGINT) AS regressions FROM drift",
+    "stream_dedup": f"WITH {M3}, x AS (SELECT DISTINCT channel, seq, event_ts_ms FROM m3) SELECT channel, count(*) AS readings, max(seq) AS seq_max FROM x GROUP BY channel",
+    "stream_rollup": f"WITH {M3} SELECT channel, event_ts_ms // {DAY} * {DAY} AS start_ms, min(value) AS low, max(value) AS high FROM m3 GROUP BY 1, 2",
 }
