@@ -148,6 +148,8 @@ def lines_to_remove(docs):
 @pytest.mark.parametrize("limit", [1024, 4])
 def test_fuzzy_lines(spark, monkeypatch, limit):
     monkeypatch.setattr(line_dedup, "GROUP", limit)
+    monkeypatch.setattr(line_dedup, "NARROW", limit)
+    monkeypatch.setattr(simhash_dedup, "SMALL", 8 if limit > 4 else 2)
     r = rng(3)
     vocabulary = ["".join(r.choice(list("abcdefghij"), r.integers(2, 8))) for _ in range(300)]
     base = [list(r.choice(vocabulary, r.integers(3, 30))) for _ in range(30)]
@@ -240,6 +242,7 @@ def simhash(text):
 @pytest.mark.parametrize("limit", [4096, 3])
 def test_simhash_links_all_within_three_bits(spark, monkeypatch, limit):
     monkeypatch.setattr(simhash_dedup, "GROUP", limit)
+    monkeypatch.setattr(simhash_dedup, "SMALL", 64 if limit > 3 else 2)
     r = rng(7)
     base = [words(r, 60).split() for _ in range(12)]
     texts = list(EDGES)

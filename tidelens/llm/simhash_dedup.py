@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -15,8 +15,9 @@ from tidelens.llm._graph import components
 from tidelens.llm._shared import materialise, need
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
-#: Hashes unpacked at a time, fingerprints compared pair by pair in one group, and the bits below which a group is small enough anyway.
-CHUNK, GROUP, FREE_BITS = 1 << 15, 4096, 14
+#: Hashes unpacked at a time, fingerprints of one group compared in one task and as a
+#: matrix of lags, and the bits below which a group is small enough anyway.
+CHUNK, GROUP, SMALL, FREE_BITS = 1 << 15, 4096, 64, 14
 
 
 def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
@@ -64,65 +65,69 @@ def _blocks(mask: int) -> list[int]:
     return [sum(1 << i for i in bits[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, mask, bits) sorted by key and bits: links within each key, and for a key with over GROUP
+def linked(most: int) -> Callable:
+    """Rows (key, mask, bits) sorted by key and bits: links within each key, and for a key with over ``most``
     fingerprints its rows again under narrower keys.
 
     ``mask`` has the bits that may still differ within the key. Of four blocks of them one is equal in any pair
     within three bits, so the four narrower keys lose no pair. A mask of FREE_BITS bits bounds the group.
     """
-    last: list[tuple[int, int, np.ndarray]] = []
-
-    def batch(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(key), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "key", "a", "b"])
-
-    def large(key: int, mask: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        bits = np.concatenate(parts)
-        if len(bits) <= GROUP or mask.bit_count() <= FREE_BITS:
-            for a, b in _tree(bits, DISTANCE):
-                yield batch(0, np.zeros(len(a), np.int64), bits[a], bits[b])
-            return
-        yield from narrower(key, mask, bits)
-
-    def narrower(key: int, mask: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for j, block in enumerate(_blocks(mask)):
-            sub = (bits & np.uint64(block)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((key * 0xC2B2AE3D27D4EB4F + j * 0x165667B19E3779F9) % 2**64)
-            sub = (sub ^ (sub >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            yield batch(1, sub.view(np.int64), np.full(len(bits), mask & ~block, np.uint64), bits)
-
-    held, split = 0, False
-    for b in batches:
-        key, mask, bits = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy().view(np.uint64)
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        ends = np.r_[starts[1:], len(key)]
-        # Whole small groups inside the batch, all at once: each row against the rows behind it in its group.
-        inner = np.flatnonzero((ends - starts > 1) & (ends - starts <= 16) & (starts > 0) & (ends < len(key)))
-        if len(inner):
-            size = np.zeros(len(key), np.int64)
-            for lag in range(1, int((ends - starts)[inner].max())):
-                size[:] = 0
-                size[starts[inner]] = np.maximum(ends[inner] - starts[inner] - lag, 0)
-                at = np.repeat(starts[inner], size[starts[inner]])
-                at = at + np.arange(len(at)) - np.repeat(np.cumsum(size[starts[inner]]) - size[starts[inner]], size[starts[inner]])
-                at = at[np.bitwise_count(bits[at] ^ bits[at + lag]) <= DISTANCE]
-                if len(at):
-                    yield batch(0, np.zeros(len(at), np.int64), bits[at], bits[at + lag])
-        for i in np.flatnonzero((ends - starts > 16) | (starts == 0) | (ends == len(key))):
-            k, m, part = int(key[starts[i]]), int(mask[starts[i]]), bits[starts[i] : ends[i]]
-            if last and last[0][0] != k:
-                if not split and held > 1:
-                    yield from large(last[0][0], last[0][1], [x[2] for x in last])
-                last, held, split = [], 0, False
-            if split:
-                yield from narrower(k, m, part)
-                continue
-            last.append((k, m, part))
-            held += len(part)
-            if held > GROUP and m.bit_count() > FREE_BITS:
-                yield from narrower(k, m, np.concatenate([x[2] for x in last]))
-                last, split = [(k, m, part[:0])], True
-    if last and not split and held > 1:
-        yield from large(last[0][0], last[0][1], [x[2] for x in last])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[tuple[int, int, np.ndarray]] = []
+
+        def batch(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(key), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "key", "a", "b"])
+
+        def large(key: int, mask: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            bits = np.concatenate(parts)
+            if len(bits) <= most or mask.bit_count() <= FREE_BITS:
+                for a, b in _tree(bits, DISTANCE):
+                    yield batch(0, np.zeros(len(a), np.int64), bits[a], bits[b])
+                return
+            yield from narrower(key, mask, bits)
+
+        def narrower(key: int, mask: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for j, block in enumerate(_blocks(mask)):
+                sub = (bits & np.uint64(block)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((key * 0xC2B2AE3D27D4EB4F + j * 0x165667B19E3779F9) % 2**64)
+                sub = (sub ^ (sub >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                yield batch(1, sub.view(np.int64), np.full(len(bits), mask & ~block, np.uint64), bits)
+
+        held, split = 0, False
+        for b in batches:
+            key, mask, bits = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy().view(np.uint64)
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            ends = np.r_[starts[1:], len(key)]
+            # Whole small groups inside the batch, all at once: each row against the rows behind it in its group.
+            inner = np.flatnonzero((ends - starts > 1) & (ends - starts <= SMALL) & (starts > 0) & (ends < len(key)))
+            if len(inner):
+                size = np.zeros(len(key), np.int64)
+                for lag in range(1, int((ends - starts)[inner].max())):
+                    size[:] = 0
+                    size[starts[inner]] = np.maximum(ends[inner] - starts[inner] - lag, 0)
+                    at = np.repeat(starts[inner], size[starts[inner]])
+                    at = at + np.arange(len(at)) - np.repeat(np.cumsum(size[starts[inner]]) - size[starts[inner]], size[starts[inner]])
+                    at = at[np.bitwise_count(bits[at] ^ bits[at + lag]) <= DISTANCE]
+                    if len(at):
+                        yield batch(0, np.zeros(len(at), np.int64), bits[at], bits[at + lag])
+            for i in np.flatnonzero((ends - starts > SMALL) | (starts == 0) | (ends == len(key))):
+                k, m, part = int(key[starts[i]]), int(mask[starts[i]]), bits[starts[i] : ends[i]]
+                if last and last[0][0] != k:
+                    if not split and held > 1:
+                        yield from large(last[0][0], last[0][1], [x[2] for x in last])
+                    last, held, split = [], 0, False
+                if split:
+                    yield from narrower(k, m, part)
+                    continue
+                last.append((k, m, part))
+                held += len(part)
+                if held > most and m.bit_count() > FREE_BITS:
+                    yield from narrower(k, m, np.concatenate([x[2] for x in last]))
+                    last, split = [(k, m, part[:0])], True
+        if last and not split and held > 1:
+            yield from large(last[0][0], last[0][1], [x[2] for x in last])
+
+    return run
 
 
 def near_links(prints: DataFrame) -> DataFrame:
@@ -139,7 +144,7 @@ def near_links(prints: DataFrame) -> DataFrame:
     rows = prints.select("bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("n")).select(key.alias("key"), free.alias("mask"), "bits")
     links, level = [], 0
     while True:
-        found = rows.repartition("key").sortWithinPartitions("key", "bits").mapInArrow(_links, "kind tinyint, key bigint, a bigint, b bigint")
+        found = rows.repartition("key").sortWithinPartitions("key", "bits").mapInArrow(linked(GROUP), "kind tinyint, key bigint, a bigint, b bigint")
         found = materialise(found.distinct(), f"near{level}")
         links.append(found.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")))
         rows, level = found.where("kind = 1").select("key", F.col("a").alias("mask"), F.col("b").alias("bits")), level + 1
