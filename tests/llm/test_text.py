@@ -322,3 +322,33 @@ def test_kept_bytes_have_their_digest(spark):
     got = queries.op8_suffix_repeats(spark, "/root/testdata/sf0.001").collect()
     assert all(len(x["kept_sha256"]) == 64 for x in got)
     assert any(x["n_removed"] == x["n_bytes"] and x["kept_sha256"] == hashlib.sha256(b"").hexdigest() for x in got) or got
+
+
+def test_lines_are_linked_by_edit_similarity_alone(spark):
+    r = rng(10)
+    texts = []
+    for n in (2, 3, 5, 8, 10, 12, 20, 35, 50):
+        for _ in range(12):
+            line = words(r, n).split()
+            texts.append(" ".join(line))
+            line[int(r.integers(n))] += "q"
+            if n >= 8:
+                line[int(r.integers(n))] = "hij"
+            texts.append(" ".join(line))
+    gone = {x["of"] for x in line_dedup.removed_lines(table(spark, texts), 2, distance=None).collect()}
+    near = [i for i in range(1, len(texts), 2) if line_dedup.similar(texts[i - 1], texts[i])]
+    far = [(line_dedup.simhashes(b"".join(map(xxhash.xxh64_digest, t.encode().split())), np.array([len(t.split())]))[0]) for t in texts]
+    assert sum((int(far[i]) ^ int(far[i - 1])).bit_count() > 3 for i in near) > 60
+    found = sum(i in gone for i in near)
+    assert found >= 0.97 * len(near) and len(near) > 80
+    alone = [i for i in range(len(texts)) if not any(line_dedup.similar(texts[i], t) for j, t in enumerate(texts) if j != i)]
+    assert not gone & set(alone)
+    tiny = ["abcdefgh", "abcdxefgh", "ab cdefghij", "ab cdefgxxij", "abcd", "abce"]
+    got = {x["of"] for x in line_dedup.removed_lines(table(spark, tiny), 1, distance=None).collect()}
+    assert got == {1, 3}
+
+
+def test_large_keys_lose_no_pair(spark, monkeypatch):
+    texts = ["one long line of words that many share " + words(rng(i), 1) for i in range(60)]
+    monkeypatch.setattr(line_dedup, "GROUP", 4)
+    assert len({x["of"] for x in line_dedup.removed_lines(table(spark, texts), distance=None).collect()}) == 59
