@@ -352,3 +352,10 @@ def test_large_keys_lose_no_pair(spark, monkeypatch):
     texts = ["one long line of words that many share " + words(rng(i), 1) for i in range(60)]
     monkeypatch.setattr(line_dedup, "GROUP", 4)
     assert len({x["of"] for x in line_dedup.removed_lines(table(spark, texts), distance=None).collect()}) == 59
+
+
+def test_short_lines_take_part(spark):
+    texts = ["les.\nand ornd.", "Les\nx y z w", "and ornd\n--\n\nles", "--\n\nx y z w!"]
+    for distance in (3, None):
+        got = line_dedup.drop_repeated_lines(table(spark, texts), distance=distance).orderBy("doc_id").collect()
+        assert [x["text"] for x in got] == ["les.\nand ornd.", "x y z w", "--\n", "--\n"]
