@@ -359,3 +359,9 @@ def test_short_lines_take_part(spark):
     for distance in (3, None):
         got = line_dedup.drop_repeated_lines(table(spark, texts), distance=distance).orderBy("doc_id").collect()
         assert [x["text"] for x in got] == ["les.\nand ornd.", "x y z w", "--\n", "--\n"]
+
+
+def test_repeated_rows_keep_one_occurrence_of_a_line(spark):
+    docs = table(spark, ["a b c\nd e", "a b c\nd e", "a b c\nd e", "q\n\nd e", "q\n\nd e", "zz\n"], [1, 1, 2, None, None, 3])
+    got = line_dedup.drop_repeated_lines(docs, distance=None).collect()
+    assert sorted((x["doc_id"] or 0, x["text"]) for x in got) == [(0, ""), (0, "q\n\nd e"), (1, ""), (1, "a b c"), (2, ""), (3, "zz\n")]

@@ -28,9 +28,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    gone = line_dedup.removed_lines(docs, distance=None)
-    out = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")), "left")
+    out = line_dedup.marked_lines(docs.select("doc_id", "text"), distance=None).withColumnRenamed("__gone", "gone")
     return out.select(
         "doc_id",
         F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint").alias("n_lines"),
