@@ -365,3 +365,9 @@ def test_repeated_rows_keep_one_occurrence_of_a_line(spark):
     docs = table(spark, ["a b c\nd e", "a b c\nd e", "a b c\nd e", "q\n\nd e", "q\n\nd e", "zz\n"], [1, 1, 2, None, None, 3])
     got = line_dedup.drop_repeated_lines(docs, distance=None).collect()
     assert sorted((x["doc_id"] or 0, x["text"]) for x in got) == [(0, ""), (0, "q\n\nd e"), (1, ""), (1, "a b c"), (2, ""), (3, "zz\n")]
+
+
+def test_one_row_stays_of_a_group_with_null_ids(spark):
+    docs = table(spark, ["a b c", "a b c", "A b  c", "q r s t", "q r s t", "zz yy", None, ""], [7, None, None, None, None, 9, None, None])
+    got = simhash_dedup.keep_one(docs).collect()
+    assert sorted((x["doc_id"] or 0, x["text"] or "") for x in got) == [(0, ""), (0, "q r s t"), (7, "a b c"), (9, "zz yy")]

@@ -164,22 +164,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component of nothing else has a null one. An empty table gives an empty one.
     """
     d = materialise(fingerprints(docs), "prints")
+    node = _classes(d)
+    return d.join(node, d["bits"] == node["of"]).select("doc_id", "bits", "component_id")
+
+
+def _classes(d: DataFrame) -> DataFrame:
+    """``of, part, component_id`` for each fingerprint of ``d``: its group and the group's smallest doc_id."""
     first = d.groupBy("bits").agg(F.min("doc_id").alias("first"))
     node = materialise(first, "nodes")
     parts = components(near_links(node.select("bits")))
     node = node.join(parts, node["bits"] == parts["node"], "left").select("bits", "first", F.coalesce("component", "bits").alias("part"))
     least = node.groupBy("part").agg(F.min("first").alias("component_id"))
-    node = materialise(node.join(least, "part").select(F.col("bits").alias("of"), "component_id"), "classes")
-    return d.join(node, d["bits"] == node["of"]).select("doc_id", "bits", "component_id")
+    return materialise(node.join(least, "part").select(F.col("bits").alias("of"), "part", "component_id"), "classes")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the group's smallest doc_id.
 
-    Of rows that repeat that doc_id the smallest by text stays; groups without any doc_id keep all their rows.
+    Of rows that repeat that doc_id, and of a group without any doc_id, the smallest by text stays.
     """
-    parts = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    d = materialise(fingerprints(docs), "prints")
+    node = _classes(d)
+    parts = node.where("component_id is not null").select(F.col("component_id").alias("__kept")).distinct()
     row = F.struct("text", *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     kept = docs.join(parts, F.col("doc_id") == F.col("__kept")).groupBy("__kept").agg(F.min(row).alias("__row"))
     named = docs.where("doc_id is null")
-    return kept.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]).union(named)
+    texts = named.select(F.xxhash64("text").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id bigint, bits bigint").distinct()
+    texts = texts.join(node.where("component_id is null"), F.col("bits") == F.col("of")).select(F.col("doc_id").alias("__th"), F.col("part").alias("__part"))
+    named = named.join(texts, F.xxhash64("text") == F.col("__th")).groupBy("__part").agg(F.min(row).alias("__row"))
+    return kept.select("__row").union(named.select("__row")).select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
