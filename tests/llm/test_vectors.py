@@ -128,3 +128,13 @@ def test_archives_round_trip(spark, monkeypatch):
     assert b"".join(c["data"] for c in chunks) == big.encode() and len(chunks) > 3 and max(len(c["data"]) for c in chunks) <= warc.CHUNK
     assert [c["payload_digest"] for c in chunks] == [hashlib.sha1(big.encode()[: c["payload_bytes"]]).hexdigest() for c in chunks]
     assert warc.read_records(spark, scratch(spark, "none"), warc.write_archives(df.limit(0), scratch(spark, "none"))).count() == 0
+
+
+def test_small_lists_are_no_end_of_the_search(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LIST", 20)
+    r = np.random.default_rng(6)
+    rows = [(i, (100 * np.eye(8)[i % 7] + r.standard_normal(8)).tolist(), 1) for i in range(140)]
+    rows += [(1000 + i, (100 * np.eye(8)[7] + r.standard_normal(8)).tolist(), 1) for i in range(3)] + [(2000 + i, r.standard_normal(5).tolist(), 1) for i in range(4)]
+    monkeypatch.setattr(nearest, "fit", lambda sample, lists, k, recall: (np.eye(sample.shape[1]), 100 * np.eye(sample.shape[1]), 1))
+    n = collections.Counter(x["query_id"] for x in nearest.search(table(spark, rows), F.col("vec_id") % 1000 == 0).collect())
+    assert n == {0: 10, 1000: 10, 2000: 3}

@@ -100,20 +100,36 @@ def _searched(rotation: np.ndarray, k: int) -> Callable:
     return run
 
 
-def _listed(centres: np.ndarray, probes: int) -> Callable:
-    """Rows once for each of their nearest ``probes`` lists."""
+def _listed(centres: np.ndarray) -> Callable:
+    """Rows with their nearest list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b.column("embedding"))
+                lists = np.concatenate([squared(x[i : i + 1024], centres).argmin(axis=1) for i in range(0, len(x), 1024)])
+                yield b.append_column("list", pa.array(lists.astype(np.int64)))
+
+    return run
+
+
+def _probed(centres: np.ndarray, probes: int, held: np.ndarray, k: int) -> Callable:
+    """Rows once for each of their nearest ``probes`` lists, and of as many more as hold k candidates (``held``: vectors of each list)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, lists = matrix(b.column("embedding")), []
+            x, own, at, lists = matrix(b.column("embedding")), b.column("own").to_numpy(), [], []
             for i in range(0, len(x), 1024):
-                away = squared(x[i : i + 1024], centres)
-                lists.append(np.argsort(away, axis=1, kind="stable")[:, :probes] if probes > 1 else away.argmin(axis=1)[:, None])
-            lists = np.concatenate(lists)
-            at = np.repeat(np.arange(len(x)), lists.shape[1])
-            yield b.take(pa.array(at)).append_column("list", pa.array(lists.ravel().astype(np.int64)))
+                order = np.argsort(squared(x[i : i + 1024], centres), axis=1, kind="stable")
+                enough = np.cumsum(held[order], axis=1) >= k + own[i : i + 1024, None]
+                need = np.where(enough.any(axis=1), enough.argmax(axis=1) + 1, len(centres))
+                row, place = np.nonzero(np.arange(len(centres)) < np.maximum(need, probes)[:, None])
+                at.append(row + i)
+                lists.append(order[row, place])
+            out = b.take(pa.array(np.concatenate(at))).select(["vec_id", "embedding"])
+            yield out.append_column("list", pa.array(np.concatenate(lists).astype(np.int64)))
 
     return run
 
@@ -124,26 +140,37 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.
     ``vectors`` has ``vec_id`` and ``embedding``; rows where ``is_query`` holds are the queries and every row with
     another vec_id is a candidate. ``score`` is the distance between the original vectors in double precision;
     ties go to the smaller vec_id. Vectors that are null, empty or zero, that hold null or non-finite components,
-    that are not of the most common length of the sample, or without vec_id take no part. A vec_id that several
-    query rows have is one query (its smallest vector); repeated candidates are candidates each. An empty table
+    or without vec_id take no part; candidates are of the query's length. A vec_id that several
+    query rows have is one query of each length (its smallest vector); repeated candidates are candidates each. An empty table
     gives an empty one. Rotation, centres and number of probed lists are fitted on SAMPLE rows; every row is
-    indexed. Lists are split into blocks of bounded size, and so are the queries that probe a list.
+    indexed; a query whose lists hold fewer than k candidates probes more. Lists are split into blocks of bounded size, and so are the queries that probe a list.
     """
     v = valid(vectors).where("vec_id is not null").mapInArrow(pack_doubles, "vec_id bigint, embedding binary")
     v = materialise(v, "vectors")
-    sample = [np.frombuffer(r[0], np.float64) for r in v.orderBy(F.xxhash64("vec_id"), "embedding").limit(SAMPLE).select("embedding").collect()]
-    dims = [len(x) for x in sample]
-    dim = max(sorted(set(dims)), key=dims.count) if dims else 1
-    v = v.where(F.octet_length("embedding") == 8 * dim)
-    total = v.count()
-    if not total:
+    sizes = [r[0] for r in v.select(F.octet_length("embedding")).distinct().collect()]
+    if not sizes:
         empty = v.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
         return empty.where("false")
-    rotation, centres, probes = fit(np.stack([x for x in sample if len(x) == dim]), min(LISTS, -(-total // LIST)), k, recall)
+    # Few lengths, each a search of its own; a query id of two lengths gets the nearest of both.
+    found = [_found(v.where(F.octet_length("embedding") == n), is_query, k, recall) for n in sorted(sizes)]
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(v: DataFrame, is_query: Column, k: int, recall: float) -> DataFrame:
+    """``query_id, vec_id, score`` found in each block, for vectors of one length."""
+    sample = [np.frombuffer(r[0], np.float64) for r in v.orderBy(F.xxhash64("vec_id"), "embedding").limit(SAMPLE).select("embedding").collect()]
+    rotation, centres, probes = fit(np.stack(sample), min(LISTS, -(-v.count() // LIST)), k, recall)
     shape = "vec_id bigint, embedding binary, list bigint"
-    lists = materialise(v.mapInArrow(_listed(centres, 1), shape), "lists")
-    queries = v.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    queries = materialise(queries.mapInArrow(_listed(centres, probes), shape), "probes")
+    lists = materialise(v.mapInArrow(_listed(centres), shape), "lists")
+    held = np.zeros(len(centres), np.int64)
+    for r in lists.groupBy("list").count().collect():
+        held[r[0]] = r[1]
+    queries = v.groupBy("vec_id").agg(F.min(F.when(is_query, F.col("embedding"))).alias("embedding"), F.count("*").alias("own")).where("embedding is not null")
+    queries = materialise(queries.mapInArrow(_probed(centres, probes, held, k), shape), "probes")
     sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     sizes = sizes.join(queries.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).alias("parts")), "list")
     sizes = materialise(sizes, "sizes")
@@ -154,6 +181,4 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.
     candidates = lists.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), "blocks")).withColumn("part", each("parts")).withColumn("query", F.lit(False))
     asked = queries.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts")).withColumn("block", each("blocks")).withColumn("query", F.lit(True))
     columns = ["list", "block", "part", "vec_id", "embedding", "query"]
-    found = candidates.select(columns).union(asked.select(columns)).groupBy("list", "block", "part").applyInPandas(_searched(rotation, k), "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return candidates.select(columns).union(asked.select(columns)).groupBy("list", "block", "part").applyInPandas(_searched(rotation, k), "query_id bigint, vec_id bigint, score double")
