@@ -371,3 +371,14 @@ def test_one_row_stays_of_a_group_with_null_ids(spark):
     docs = table(spark, ["a b c", "a b c", "A b  c", "q r s t", "q r s t", "zz yy", None, ""], [7, None, None, None, None, 9, None, None])
     got = simhash_dedup.keep_one(docs).collect()
     assert sorted((x["doc_id"] or 0, x["text"] or "") for x in got) == [(0, ""), (0, "q r s t"), (7, "a b c"), (9, "zz yy")]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_tokens_in_a_text_get_the_librarys_ids(name):
+    from tidelens.llm._tokens import encoder
+
+    path = public_tokenizers.path(name)
+    t = Tokenizer.from_file(path)
+    specials = [x.content for x in t.get_added_tokens_decoder().values()]
+    texts = ["x <|endoftext|> a", "plain words", *[f"a{s}b" for s in specials], *[f"A b {s.upper()} c" for s in specials], *specials]
+    assert list(encoder(path).encode(texts)) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]

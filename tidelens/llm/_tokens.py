@@ -37,14 +37,17 @@ class Encoder:
     Two kinds of tokenizer cut a plain text at white space before they merge anything: byte-level BPE with its
     own pattern ("spaced": a single space starts a piece and belongs to it) and lower-case BPE with word ends
     that drops white space ("words"). For these the library encodes each new piece, many in one call, and the ids
-    are remembered; any other text or tokenizer goes to the library as a whole.
+    are remembered; any other text or tokenizer goes to the library as a whole, and so does a text that holds an added
+    token's content in any case. With ``plain`` special tokens in a text are text (the library's ``encode_special_tokens``).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = True):
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        added = [x for x in parts.get("added_tokens") or [] if not (plain and x.get("special"))]
+        self.added = [x["content"].lower() for x in added]
         self.pieces, self.old, self.kind = {}, {}, "other"
         vocabulary = parts["model"].get("vocab")
         before, norm, end = parts.get("pre_tokenizer") or {}, parts.get("normalizer") or {}, parts["model"].get("end_of_word_suffix")
@@ -118,8 +121,11 @@ class Encoder:
                 return None
         except UnicodeEncodeError:
             return None
+        lower = text.lower() if self.added or self.kind == "words" else text
+        if any(x in lower for x in self.added):
+            return None
         if self.kind == "words":
-            return text.lower().split()
+            return lower.split()
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n":
             return None
         return ("\0" + text).split(" ")
@@ -149,5 +155,5 @@ class Encoder:
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process and file; its pieces stay between tasks."""
-    return Encoder(path)
+    """One encoder a worker process and file, with the library's default for special tokens; its pieces stay between tasks."""
+    return Encoder(path, plain=False)
