@@ -382,3 +382,12 @@ def test_special_tokens_in_a_text_get_the_librarys_ids(name):
     specials = [x.content for x in t.get_added_tokens_decoder().values()]
     texts = ["x <|endoftext|> a", "plain words", *[f"a{s}b" for s in specials], *[f"A b {s.upper()} c" for s in specials], *specials]
     assert list(encoder(path).encode(texts)) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_ids_that_do_not_fit_are_no_other_ids(monkeypatch, spark):
+    with pytest.raises(ValueError):
+        token_files._narrow(np.array([1, 65_536], "<u4").tobytes(), 2)
+    path, folder = public_tokenizers.path("word_bpe_49k.json"), scratch(spark, "test")
+    assert token_files.id_width(path, 1) == 2
+    token_files.write_tokens(table(spark, ["a b"]), folder, path, end_id=70_000)
+    assert np.frombuffer(token_files.read_tokens(spark, folder).first()["ids"], "<u4")[-1] == 70_000

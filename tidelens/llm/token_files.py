@@ -46,7 +46,15 @@ def _id(i: int) -> bytes:
 
 
 def _narrow(ids: bytes, width: int) -> bytes:
-    return np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+    wide = np.frombuffer(ids, "<u4")
+    if width < 4 and len(wide) and int(wide.max()) >> 8 * width:
+        raise ValueError(f"id {wide.max()} does not fit {width} bytes")
+    return wide.astype(f"<u{width}").tobytes()
+
+
+def id_width(tokenizer: str, end_id: int) -> int:
+    """Bytes that the tokenizer's largest id and ``end_id`` need: 2 or 4."""
+    return 2 if max(end_id, *encoder(tokenizer).tokenizer.get_vocab().values()) < 1 << 16 else 4
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -104,16 +112,18 @@ def _written(folder: str, width: int, dictionary: bytes) -> Callable:
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2) -> None:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int | None = None) -> None:
     """Encode ``doc_id``, ``text`` and write files to ``folder`` (shared by all executors) in ascending doc_id order.
 
     A null or empty text is its end token alone. Null doc_ids come first; rows that repeat a doc_id are all
-    kept, ordered by their ids' frames. ``width`` is the bytes an id takes, 2 or 4. An empty table gives a
+    kept, ordered by their ids' frames. ``width`` is the bytes an id takes, 2 or 4, by default as the
+    vocabulary needs; an id that does not fit raises. An empty table gives a
     manifest without files. Only the manifest's rows, one a file, and the sample reach the driver.
     """
     folder = as_uri(folder)
     fs, top = FileSystem.from_uri(folder)
     fs.create_dir(top)
+    width = width or id_width(tokenizer, end_id)
     dictionary = train_dictionary(docs, tokenizer, end_id, width)
     with fs.open_output_stream(f"{top}/dictionary") as f:
         f.write(dictionary)
