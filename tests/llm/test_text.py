@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from tidelens.llm import line_dedup, mixing, packing, simhash_dedup, suffix_dedup, token_files, toxicity
+from tidelens.llm import line_dedup, mixing, packing, simhash_dedup, suffix_dedup, token_files
 from tidelens.llm._shared import scratch
 from tidelens.llm._tokens import Encoder
 
@@ -295,27 +295,6 @@ def test_mix_reshares_what_is_above_the_cap(spark):
     assert {x["source"]: round(x["target"], 6) for x in mixing.source_targets(docs.selectExpr("source", "size(split(trim(text), ' ')) AS size")).collect()} == {"a": 30.0, "b": 120.0, "c": 60.0}
 
 
-def test_toxicity_learns_a_pair_that_no_single_term_shows(spark):
-    r = rng(9)
-    texts, toxic = [], []
-    for i in range(1200):
-        w = words(r, 30).split()
-        insult, group = i % 2 == 0, i // 2 % 2 == 0
-        w += ["insult"] * insult + ["people"] * group
-        r.shuffle(w)
-        texts.append(" ".join(w))
-        toxic.append(int(insult and group))
-    docs = table(spark, [*texts, None, ""])
-    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)] + [(None, 1, 1), (5, 1, None)], "doc_id bigint, quality int, toxic int")
-    machine = toxicity.train(docs, labels)
-    out = toxicity.score(docs, machine, "score").collect()
-    held = [x for x in out if x["doc_id"] < 1200 and zlib.crc32(str(x["doc_id"]).encode()) % 4 == 2]
-    assert np.mean([(x["score"] >= 0.5) == toxic[x["doc_id"]] for x in held]) > 0.95
-    assert len(out) == 1202 and all(0 <= x["score"] <= 1 and x["size"] == 1 for x in out)
-    none = toxicity.train(docs, labels.limit(0))
-    assert toxicity.score(docs.limit(0), none).count() == 0 and 0 < none.score(toxicity.terms("x")) < 1
-
-
 def test_kept_bytes_have_their_digest(spark):
     from tidelens.llm import queries
 

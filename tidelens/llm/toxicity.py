@@ -11,80 +11,139 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm._shared import need
+from tidelens.llm._shared import materialise, need
 
-#: Labelled rows a model is fitted on at most (those with the smallest hashes); documents a term must be in, standard
-#: errors by which its share of toxic texts must differ, and terms kept.
-ROWS, LEAST, ERRORS, TERMS = 30_000, 4, 4.0, 2048
+#: Labelled rows a model is fitted on at most (those with the smallest hashes), and the buckets that hashed terms fall in.
+ROWS, BUCKETS = 30_000, 1 << 18
+#: Choice of features among the buckets: documents a bucket must be in; standard errors by which its share of toxic texts must
+#: differ, and buckets so kept; buckets tested in pairs, standard errors by which a pair's share must differ from what
+#: its two buckets' shares add up to, and pairs so kept.
+LEAST, ERRORS, SINGLE, TESTED, PAIR_ERRORS, PAIRS = 4, 4.0, 2048, 1024, 6.0, 256
 STEMS = (4, 5, 7)
 #: Training; POSITIVE is the weight of a toxic text, as texts that are not are many times as many.
-
 FACTORS, EPOCHS, BATCH, RATE, DECAY, POSITIVE = 8, 20, 256, 0.3, 5e-5, 3.0
+#: Rows of the pair test multiplied at a time, words remembered in a worker.
+BLOCK, REMEMBERED = 2048, 400_000
 #: ASCII to lower case for letters, itself for digits, white space for the rest; bytes of other characters stay.
 PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def terms(text: str | None) -> np.ndarray:
-    """The distinct hashed terms of a whole text, as unsigned 32-bit CRCs: runs of letters and digits in lower case,
-    and the first STEMS bytes of longer ones with a hyphen, so that inflected words share a term."""
-    words = set((text or "").lower().encode().translate(PLAIN).split())
-    found = list(words)
-    for n in STEMS:
-        found += {w[:n] + b"-" for w in words if len(w) > n}
-    return np.unique(np.fromiter(map(crc32, found), np.uint32, len(found)))
+def words(text: str | None) -> set[bytes]:
+    """The runs of letters and digits of a whole text, in lower case."""
+    return set((text or "").lower().encode().translate(PLAIN).split())
+
+
+def buckets(word: bytes) -> list[int]:
+    """The buckets of a word and of its first STEMS bytes with a hyphen, so that inflected words share some."""
+    return [crc32(x) % BUCKETS for x in (word, *[word[:n] + b"-" for n in STEMS if len(word) > n])]
+
+
+class _Remembered(dict):
+    def __init__(self, of: Callable):
+        self.of = of
+
+    def __missing__(self, word: bytes):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = x = self.of(word)
+        return x
+
+
+def terms(text: str | None, of: Callable = buckets) -> np.ndarray:
+    """The distinct buckets of a whole text's terms, ascending."""
+    return np.array(sorted(set().union(*map(of, words(text)))), np.uint32)
+
+
+def logits(doc: np.ndarray, i: np.ndarray, n: int, bias: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """bias + sum_i w_i + sum_{i<j} <v_i, v_j> of ``n`` texts, whose features are ``i`` (of text ``doc``); v_i, and each text's sum of them."""
+    vi = v[i]
+    total = np.stack([np.bincount(doc, vi[:, f], n) for f in range(v.shape[1])], axis=1)
+    own = np.bincount(doc, (vi * vi).sum(axis=1), n)
+    return bias + np.bincount(doc, w[i], n) + 0.5 * ((total * total).sum(axis=1) - own), vi, total
+
+
+def gradient(doc: np.ndarray, i: np.ndarray, err: np.ndarray, vi: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features that occur, and the mean loss's derivatives by their w and v; ``err``: derivative of a text's loss by its logit."""
+    e = err[doc]
+    touched, back = np.unique(i, return_inverse=True)
+    dw = np.bincount(back, e, len(touched)) / len(err)
+    return touched, dw, np.stack([np.bincount(back, e * (total[doc, f] - vi[:, f]), len(touched)) for f in range(vi.shape[1])], axis=1) / len(err)
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 @dataclass(frozen=True)
 class Machine:
-    """score = sigmoid(bias + sum_i w_i + sum_{i<j} <v_i, v_j>) over the known terms i, j of a text."""
+    """score = sigmoid(bias + sum_i w_i + sum_{i<j} <v_i, v_j>) over the known buckets i, j of a text."""
 
     known: np.ndarray
     bias: float
     linear: np.ndarray
     factors: np.ndarray
 
-    def find(self, hashed: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.known, hashed), len(self.known) - 1)
-        return at[self.known[at] == hashed]
+    def find(self, some: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.isin(self.known, some, assume_unique=True))
+
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The scores of texts given by the places of their known buckets, each once."""
+        doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        return sigmoid(logits(doc, np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64), len(rows), self.bias, self.linear, self.factors)[0])
 
-    def score(self, hashed: np.ndarray) -> float:
-        i = self.find(hashed)
-        v = self.factors[i]
-        total = v.sum(axis=0)
-        z = self.bias + self.linear[i].sum() + 0.5 * float((total * total).sum() - (v * v).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def score(self, some: np.ndarray) -> float:
+        return float(self.scores([self.find(some)])[0])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> Machine:
-    """Logistic loss by AdaGrad in mini-batches. Without rows of both labels the score is the labels' smoothed share."""
+def _apart(p: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Standard errors between a share ``p`` among ``n`` and the expected one ``q``."""
+    return np.abs(p - q) * np.sqrt(n / (q * (1 - q)))
+
+
+def single_features(inside: np.ndarray, toxic: np.ndarray, rows: int, positive: int) -> np.ndarray:
+    """Places of the buckets whose own share of toxic texts differs most from the share of all texts."""
+    z = _apart(toxic / np.maximum(inside, 1), positive / rows, inside)
+    z[(inside < LEAST) | (z < ERRORS)] = -1
+    return np.argsort(-z, kind="stable")[: min(SINGLE, int((z >= 0).sum()))]
+
+
+def tested_features(inside: np.ndarray, rows: int) -> np.ndarray:
+    """Places of the buckets tested in pairs: those whose presence varies most, whatever their own share of toxic texts."""
+    spread = np.where(inside >= LEAST, inside * (rows - inside), 0)
+    return np.argsort(-spread, kind="stable")[: min(TESTED, int((spread > 0).sum()))]
+
+
+def paired_features(rows: list[np.ndarray], labels: np.ndarray, m: int) -> np.ndarray:
+    """Of ``m`` features (``rows``: each text's), those of the pairs whose share of toxic texts differs most from what the
+    two features' own shares give as a sum of log odds."""
+    both, toxic = np.zeros((m, m), np.float64), np.zeros((m, m), np.float64)
+    for at in range(0, len(rows), BLOCK):
+        x = np.zeros((min(BLOCK, len(rows) - at), m), np.float32)
+        for k, r in enumerate(rows[at : at + BLOCK]):
+            x[k, r] = 1
+        y = x[labels[at : at + BLOCK] > 0]
+        both += x.T @ x
+        toxic += y.T @ y
+    inside, share = np.diag(both), (labels.sum() + 1) / (len(rows) + 2)
+    p = (np.diag(toxic) + 2 * share) / (inside + 2)
+    odds = np.log(p / (1 - p))
+    expected = np.clip(sigmoid(odds[:, None] + odds[None, :] - np.log(share / (1 - share))), 0.01 * share, 1 - 0.01 * (1 - share))
+    z = np.triu(np.where(both >= LEAST, _apart(toxic / np.maximum(both, 1), expected, both), 0), 1).ravel()
+    best = np.argsort(-z, kind="stable")[:PAIRS]
+    best = best[z[best] >= PAIR_ERRORS]
+    return np.unique([best // m, best % m])
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, m: int, seed: int = 3) -> tuple[float, np.ndarray, np.ndarray]:
+    """bias, w and v of ``m`` features; ``rows``: each text's. Logistic loss by AdaGrad in mini-batches."""
     n = len(rows)
     share = (labels.sum() + 1) / (n + 2)
-    empty = Machine(np.zeros(0, np.uint32), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
-    if n == 0 or labels.min() == labels.max():
-        return empty
-    flat = np.concatenate(rows)
-    sizes = np.array([len(r) for r in rows])
-    known, at = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
-    inside = np.bincount(at, minlength=len(known))
-    toxic = np.bincount(at, labels[owner], len(known))
-    # The terms whose share of toxic texts differs most from the rest's, in standard errors.
-    p, q = toxic / inside, labels.mean()
-    z = np.abs(p - q) * np.sqrt(inside / (q * (1 - q)))
-    z[(inside < LEAST) | (z < ERRORS)] = -1
-    kept = np.sort(np.argsort(-z, kind="stable")[: min(TERMS, int((z >= 0).sum()))])
-    if not len(kept):
-        return empty
-    new = np.full(len(known), -1)
-    new[kept] = np.arange(len(kept))
-    at = new[at]
-    owner, at = owner[at >= 0], at[at >= 0]
-    begin = np.searchsorted(owner, np.arange(n + 1))
-    m = len(kept)
     rng = np.random.default_rng(seed)
-    bias, w, v = empty.bias, np.zeros(m), rng.normal(0, 0.02, (m, FACTORS))
+    bias, w, v = float(np.log(share / (1 - share))), np.zeros(m), rng.normal(0, 0.02, (m, FACTORS))
+    if not m:
+        return bias, w, v
+    at = np.concatenate(rows).astype(np.int64)
+    begin = np.r_[0, np.cumsum([len(r) for r in rows])]
     gw, gv, gb = np.full(m, 1e-4), np.full((m, FACTORS), 1e-4), 1e-4
     for _ in range(EPOCHS):
         order = rng.permutation(n)
@@ -93,29 +152,46 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> Machine:
             count = begin[docs + 1] - begin[docs]
             doc = np.repeat(np.arange(len(docs)), count)
             i = at[np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[docs], count)]
-            vi = v[i]
-            total = np.stack([np.bincount(doc, vi[:, f], len(docs)) for f in range(FACTORS)], axis=1)
-            own = np.bincount(doc, (vi * vi).sum(axis=1), len(docs))
-            y = bias + np.bincount(doc, w[i], len(docs)) + 0.5 * ((total * total).sum(axis=1) - own)
-            err = 1 / (1 + np.exp(-np.clip(y, -30, 30))) - labels[docs]
-            err = err * np.where(labels[docs] > 0, POSITIVE, 1.0)
-            e = err[doc]
-            touched, back = np.unique(i, return_inverse=True)
-            dw = np.bincount(back, e) / len(docs) + DECAY * w[touched]
-            dv = np.stack([np.bincount(back, e * (total[doc, f] - vi[:, f])) for f in range(FACTORS)], axis=1) / len(docs) + DECAY * v[touched]
+            y, vi, total = logits(doc, i, len(docs), bias, w, v)
+            err = (sigmoid(y) - labels[docs]) * np.where(labels[docs] > 0, POSITIVE, 1.0)
+            touched, dw, dv = gradient(doc, i, err, vi, total)
+            dw, dv = dw + DECAY * w[touched], dv + DECAY * v[touched]
             gb += err.mean() ** 2
             gw[touched] += dw * dw
             gv[touched] += dv * dv
             bias -= RATE * err.mean() / np.sqrt(gb)
             w[touched] -= RATE * dw / np.sqrt(gw[touched])
             v[touched] -= 0.5 * RATE * dv / np.sqrt(gv[touched])
-    return Machine(known[kept], float(bias), w, v)
+    return float(bias), w, v
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    of = _Remembered(buckets).__getitem__
+    for b in batches:
+        rows = [terms(x.as_py(), of).astype("<u4").tobytes() for x in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["of", "label", "terms"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows of a partition, and how many toxic ones, have each bucket."""
+    inside = np.zeros((2, BUCKETS), np.int64)
     for b in batches:
-        rows = [terms(x.as_py()).astype("<u4").tobytes() for x in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["label", "terms"])
+        label = b.column(0).to_numpy()
+        for k, some in ((0, b.column(1)), (1, b.column(1).filter(pa.array(label > 0)))):
+            inside[k] += np.bincount(np.frombuffer(b"".join(some.to_pylist()), "<u4"), minlength=BUCKETS)
+    at = np.flatnonzero(inside[0])
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(inside[0][at]), pa.array(inside[1][at])], ["bucket", "n", "toxic"])
+
+
+def _places(some: np.ndarray) -> Callable:
+    """The places among ``some`` (ascending) of each row's buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [np.flatnonzero(np.isin(some, np.frombuffer(x.as_py(), "<u4"), assume_unique=True)).astype("<u2").tobytes() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["label", "places"])
+
+    return run
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -126,22 +202,50 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine:
     """Fit on at most ``rows`` labelled documents that are not held out; repeated labels of a doc_id count once (the larger).
 
-    ``docs`` has ``doc_id`` and ``text``, ``labels`` has ``doc_id`` and ``toxic``; rows with nulls teach nothing.
+    ``docs`` has ``doc_id`` and ``text``, ``labels`` has ``doc_id`` and ``toxic``; rows with nulls teach nothing. Of rows
+    that repeat a doc_id the one with the smallest buckets teaches. Features are hash buckets of terms, chosen by their own
+    share of toxic texts or by their share in pairs; without rows of both labels the score is the labels' smoothed share.
+    The driver gets a count for each bucket (BUCKETS at most) and, for each of these ``rows``, the places of its
+    features (SINGLE + TESTED at most), never texts.
     """
     known = need(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out())
     known = known.groupBy(F.col("doc_id").alias("of")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     known = known.orderBy(F.xxhash64("of"), "of").limit(rows)  # a bounded table, so it may be broadcast
     some = need(docs, "doc_id", "text").where("text is not null").join(F.broadcast(known), F.col("doc_id") == F.col("of"))
-    some = some.select("label", "text").mapInArrow(_hashed, "label int, terms binary").limit(2 * rows)
-    found = sorted((r["label"], bytes(r["terms"])) for r in some.toLocalIterator())
-    return fit([np.frombuffer(t, "<u4") for _, t in found], np.array([x for x, _ in found], np.float64))
+    some = some.select("of", "label", "text").mapInArrow(_hashed, "of bigint, label int, terms binary")
+    some = materialise(some.groupBy("of").agg(F.min(F.struct("label", "terms")).alias("row")).select("row.*"), "labelled")
+    n, positive = some.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < positive < n:
+        share = (positive + 1) / (n + 2)
+        return Machine(np.zeros(0, np.uint32), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
+    counts = some.mapInArrow(_counted, "bucket bigint, n bigint, toxic bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    counts = counts.toArrow().sort_by("bucket")
+    bucket, inside, toxic = (counts.column(c).to_numpy() for c in ("bucket", "n", "toxic"))
+    alone, tested = single_features(inside, toxic, n, positive), tested_features(inside, n)
+    either = np.union1d(alone, tested)
+    found = some.mapInArrow(_places(bucket[either]), "label int, places binary").toArrow()
+    found = sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+    marked, y = [np.frombuffer(p, "<u2") for _, p in found], np.array([x for x, _ in found], np.float64)
+    at = _only(marked, np.searchsorted(either, np.sort(tested)))
+    kept = np.union1d(alone, np.sort(tested)[paired_features(at, y, len(tested))])
+    bias, w, v = fit(_only(marked, np.searchsorted(either, kept)), y, len(kept))
+    return Machine(bucket[kept].astype(np.uint32), bias, w, v)
+
+
+def _only(rows: list[np.ndarray], some: np.ndarray) -> list[np.ndarray]:
+    """The features of ``rows`` that are among ``some`` (ascending), as places in it."""
+    new = np.full(SINGLE + TESTED, -1)
+    new[some] = np.arange(len(some))
+    return [x[x >= 0] for x in (new[r] for r in rows)]
 
 
 def _scored(machine: Machine, text: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {int(b): i for i, b in enumerate(machine.known)}
+        of = _Remembered(lambda word: [place[b] for b in buckets(word) if b in place]).__getitem__
         for b in batches:
-            scores = np.fromiter((machine.score(terms(x.as_py())) for x in b.column(text)), np.float64, b.num_rows)
-            yield b.append_column("__toxicity", pa.array(scores))
+            rows = [terms(x.as_py(), of) for x in b.column(text)]
+            yield b.append_column("__toxicity", pa.array(machine.scores(rows), pa.float64()))
 
     return run
 
