@@ -352,6 +352,22 @@ def test_one_row_stays_of_a_group_with_null_ids(spark):
     assert sorted((x["doc_id"] or 0, x["text"] or "") for x in got) == [(0, ""), (0, "q r s t"), (7, "a b c"), (9, "zz yy")]
 
 
+def test_one_row_stays_of_each_group_with_repeated_ids(spark):
+    texts = ["q r s t u v", "q r s t u v", "one two three four", "one two three four", "one two three four", "x"]
+    got = simhash_dedup.keep_one(table(spark, texts, [2, 4, 4, 4, 4, None])).collect()
+    assert sorted((x["doc_id"] or -1, x["text"]) for x in got) == [(-1, "x"), (2, "q r s t u v"), (4, "one two three four")]
+    maps = table(spark, texts).selectExpr("doc_id", "text", "map(text, n) AS `a b`", "array(doc_id) AS __part")
+    assert sorted(x["doc_id"] for x in simhash_dedup.keep_one(maps).collect()) == [0, 2, 5] and simhash_dedup.keep_one(maps).columns == maps.columns
+
+
+def test_empty_tables_and_long_texts_have_fingerprints(spark):
+    none = table(spark, [])
+    assert simhash_dedup.near_duplicates(none).count() == 0 and simhash_dedup.keep_one(none).columns == none.columns and simhash_dedup.keep_one(none).count() == 0
+    long = words(rng(11), 2000) * 200
+    got = {x["doc_id"]: x for x in simhash_dedup.near_duplicates(table(spark, [long, long + " z", "z"])).collect()}
+    assert len(long) > 1_000_000 and got[0]["bits"] % 2**64 == simhash(long) and [got[i]["component_id"] for i in range(3)] == [0, 0, 2]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_special_tokens_in_a_text_get_the_librarys_ids(name):
     from tidelens.llm._tokens import encoder

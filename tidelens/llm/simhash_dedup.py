@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -34,10 +34,11 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text, a batch's second column, becomes ``bits``."""
     for b in batches:
         text = b.column(1).cast(pa.binary()) if pa.types.is_string(b.column(1).type) else b.column(1).cast(pa.large_binary())
         bits = np.fromiter((fingerprint(x.as_py()) for x in text), np.uint64, len(text))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits.view(np.int64))], ["doc_id", "bits"])
+        yield b.set_column(1, "bits", pa.array(bits.view(np.int64)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -164,32 +165,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component of nothing else has a null one. An empty table gives an empty one.
     """
     d = materialise(fingerprints(docs), "prints")
-    node = _classes(d)
+    node, best = _groups(d, F.min("doc_id"))
+    # The groups are written first, so that a large group's rows of this join can be split.
+    node = materialise(node.join(best, "part").select(F.col("bits").alias("of"), F.col("best").alias("component_id")), "classes")
     return d.join(node, d["bits"] == node["of"]).select("doc_id", "bits", "component_id")
 
 
-def _classes(d: DataFrame) -> DataFrame:
-    """``of, part, component_id`` for each fingerprint of ``d``: its group and the group's smallest doc_id."""
-    first = d.groupBy("bits").agg(F.min("doc_id").alias("first"))
-    node = materialise(first, "nodes")
+def _groups(d: DataFrame, best: Column) -> tuple[DataFrame, DataFrame]:
+    """``bits, part``: each fingerprint of ``d`` with its group; ``part, best``: each group with the least of an aggregate over a fingerprint's rows."""
+    node = materialise(d.groupBy("bits").agg(best.alias("own")), "nodes")
     parts = components(near_links(node.select("bits")))
-    node = node.join(parts, node["bits"] == parts["node"], "left").select("bits", "first", F.coalesce("component", "bits").alias("part"))
-    least = node.groupBy("part").agg(F.min("first").alias("component_id"))
-    return materialise(node.join(least, "part").select(F.col("bits").alias("of"), "part", "component_id"), "classes")
+    node = materialise(node.join(parts, node["bits"] == parts["node"], "left").select("bits", "own", F.coalesce("component", "bits").alias("part")), "parts")
+    return node.drop("own"), materialise(node.groupBy("part").agg(F.min("own").alias("best")), "best")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the group's smallest doc_id.
 
-    Of rows that repeat that doc_id, and of a group without any doc_id, the smallest by text stays.
+    Of rows that share that doc_id the one with the smallest XXH64 of its text stays, and of those that repeat the text
+    too the first by their JSON. Rows without a doc_id come last, so one stays only of a group of nothing else.
+    An empty table gives an empty one.
     """
-    d = materialise(fingerprints(docs), "prints")
-    node = _classes(d)
-    parts = node.where("component_id is not null").select(F.col("component_id").alias("__kept")).distinct()
-    row = F.struct("text", *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    kept = docs.join(parts, F.col("doc_id") == F.col("__kept")).groupBy("__kept").agg(F.min(row).alias("__row"))
-    named = docs.where("doc_id is null")
-    texts = named.select(F.xxhash64("text").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id bigint, bits bigint").distinct()
-    texts = texts.join(node.where("component_id is null"), F.col("bits") == F.col("of")).select(F.col("doc_id").alias("__th"), F.col("part").alias("__part"))
-    named = named.join(texts, F.xxhash64("text") == F.col("__th")).groupBy("__part").agg(F.min(row).alias("__row"))
-    return kept.select("__row").union(named.select("__row")).select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    d = need(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("th"))
+    d = materialise(d.mapInArrow(_fingerprints, "doc_id bigint, bits bigint, th bigint"), "prints")
+    _, best = _groups(d, F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")))
+    best = best.select("part", F.col("best.doc_id").alias("of"), F.col("best.th").alias("of_th"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("th"))
+    found = rows.join(best, F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")))
+    found = found.groupBy("part").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
