@@ -142,6 +142,7 @@ def near_links(prints: DataFrame) -> DataFrame:
     wild = F.expr("shiftleft(1L, pmod(n, 32))")
     key = segment.bitwiseAND(F.bitwise_not(wild)).bitwiseOR(F.expr("shiftleft(cast(n as bigint), 32)"))
     free = F.when(n < 32, F.lit(-(1 << 32)).bitwiseOR(wild)).otherwise(F.lit(0xFFFFFFFF).bitwiseOR(F.expr("shiftleft(1L, 32 + pmod(n, 32))")))
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few files, 64 rows of each fingerprint
     rows = prints.select("bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("n")).select(key.alias("key"), free.alias("mask"), "bits")
     links, level = [], 0
     while True:
