@@ -130,6 +130,14 @@ def test_archives_round_trip(spark, monkeypatch):
     assert warc.read_records(spark, scratch(spark, "none"), warc.write_archives(df.limit(0), scratch(spark, "none"))).count() == 0
 
 
+def test_long_urls_come_back_whole(spark):
+    urls = ["http://a/" + "é" * 700_000, "u" * (1 << 20), None]
+    df = spark.createDataFrame([(i, u, "p") for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+    folder = scratch(spark, "test")
+    got = warc.read_records(spark, folder, warc.write_archives(df, folder)).orderBy("page_id").collect()
+    assert [r["url"] for r in got] == urls and all(r["payload_bytes"] == 1 for r in got)
+
+
 def test_small_lists_are_no_end_of_the_search(spark, monkeypatch):
     monkeypatch.setattr(nearest, "LIST", 20)
     r = np.random.default_rng(6)

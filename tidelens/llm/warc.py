@@ -133,25 +133,24 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     return materialise(made, "archives")
 
 
-def _line(f) -> bytes:
-    return f.readline(1 << 20).rstrip(b"\r\n")
-
-
 def parse(f, chunk: int = CHUNK) -> Iterator[tuple]:
-    """Chunk rows of an uncompressed WARC stream: header fields, chunk number, data, SHA-1 so far, bytes so far, whether it is the last."""
-    while first := f.readline(1 << 20):
+    """Chunk rows of an uncompressed WARC stream: header fields, chunk number, data, SHA-1 so far, bytes so far, whether it is the last.
+
+    Header lines are read to their ends, however long; a payload is read chunk by chunk.
+    """
+    while first := f.readline():
         if first in (b"\r\n", b"\n"):
             continue
         if not first.startswith(b"WARC/"):
             raise ValueError("not at a WARC record")
         fields = {}
-        while row := _line(f):
+        while row := f.readline().rstrip(b"\r\n"):
             k, _, v = row.decode().partition(":")
             fields[k.strip().lower()] = v.strip()
         left = int(fields["content-length"])
         if fields.get("content-type", "").startswith("application/http"):
             while left:
-                row = f.readline(min(left, 1 << 20))
+                row = f.readline(left)
                 left -= len(row)
                 if row in (b"\r\n", b"\n"):
                     break
