@@ -30,7 +30,7 @@ def applies_to(scope: str, channel: str) -> Column:
 
 
 def grade(missing: str, duplicates: str, regressions: str, max_lag_ms: str, grade_lag: bool = True) -> Column:
-    """Severity of a health window from its counts and, unless told otherwise, its lag."""
+    """Severity of a health window from its counts and, unless told otherwise, its lag. The limits are fixed values."""
     m, d, r, lag = (F.col(c) for c in (missing, duplicates, regressions, max_lag_ms))
     lag = lag if grade_lag else F.lit(0)
     return (

@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelens.operators.windows import DECAY, Sliding, assign, summaries
+from tidelens.functions.expressions import floor_to
+from tidelens.operators.windows import DECAY, Sliding, summaries
 
+#: Readings before a channel is scored, and the least sigma of a reference.
 WARMUP, FLAT = 120, 1e-9
 SCORED = "channel string, start_ms bigint, end_ms bigint, n bigint, window_mean double, reference_mean double, reference_sigma double, mean_z double, dispersion_z double, score double"
 
@@ -27,9 +29,9 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
             mz = abs(r.mean - mean) / sigma * np.sqrt(r.n)
             dz = abs(np.sqrt(r.var) / sigma - 1) * np.sqrt(r.n / 2)
             out.append((r.channel, r.start_ms, r.end_ms, r.n, r.mean, mean, sigma, mz, dz, max(mz, dz)))
-        old, own = DECAY**r.n * weight, r.d1 / r.dw
-        total, delta = old + r.dw, own - mean
-        m2 = DECAY**r.n * m2 + max(r.d2 - r.d1 * own, 0.0) + delta * delta * old * r.dw / total
+        old = DECAY**r.n * weight
+        total, delta = old + r.dw, r.dmean - mean
+        m2 = DECAY**r.n * m2 + r.dm2 + delta * delta * old * r.dw / total
         mean += delta * r.dw / total
         weight, count = total, count + r.n
     return pd.DataFrame(out, columns=[x.split()[0] for x in SCORED.split(", ")])
@@ -45,10 +47,14 @@ def zscores(readings: DataFrame, windows: Sliding) -> DataFrame:
 
 
 def onsets(readings: DataFrame, scores: DataFrame, windows: Sliding) -> DataFrame:
-    """``scores`` with ``onset_ms``: the first reading three sigma off the reference mean, else the one farthest off."""
-    points = assign(readings, windows.size, windows.slide).select("channel", "start_ms", "event_ts_ms", "arrival", "value")
+    """``scores`` with ``onset_ms``: the first reading three sigma off the reference mean, else the one farthest off.
+
+    The asked windows are dealt to their panes, so a reading is not repeated but where such a window has it.
+    """
+    points = readings.select("channel", floor_to("event_ts_ms", windows.slide).alias("pane"), "event_ts_ms", "arrival", "value")
     off = F.abs(F.col("value") - F.col("reference_mean"))
-    hit = points.join(scores, ["channel", "start_ms"]).withColumn("off", off)
+    asked = scores.select("channel", "start_ms", "reference_mean", "reference_sigma", F.explode(F.sequence("start_ms", F.col("start_ms") + (windows.size - windows.slide), F.lit(windows.slide).cast("bigint"))).alias("pane"))
+    hit = points.join(asked, ["channel", "pane"]).withColumn("off", off)
     at = F.struct("event_ts_ms", "arrival")
     found = hit.groupBy("channel", "start_ms").agg(
         F.min(F.when(F.col("off") >= 3 * F.col("reference_sigma"), F.col("event_ts_ms"))).alias("first"),

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelens.operators.chunks import CHUNK, previous, running
+from tidelens.operators.intervals import overlap_join
+
+DAY = 86_400_000
+
 
 def ranked(rows: DataFrame) -> DataFrame:
     """``pos, score, label`` with NaN scores last."""
@@ -38,35 +43,48 @@ def roc_auc(rows: DataFrame) -> DataFrame:
     return t.select(F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * F.col("q"))).alias("roc_auc"))
 
 
-def budget(rows: DataFrame) -> DataFrame:
-    """Precision, recall and F1 of the top rows, as many as there are positives (1 at least); ties by position."""
-    r = ranked(rows).withColumn("i", F.row_number().over(Window.orderBy(F.col("score").desc(), "pos")))
-    r = r.withColumn("all", F.sum("label").over(Window.partitionBy())).withColumn("budget", F.greatest(F.lit(1), F.col("all")))
-    t = r.agg(F.max("budget").alias("budget"), F.max("all").alias("all"), F.sum(F.when(F.col("i") <= F.col("budget"), F.col("label"))).alias("hits"), F.count("*").alias("n"))
+def budget(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Precision, recall and F1 of the top rows, as many as there are positives (1 at least); ties by position.
+
+    The cut is found among counts by score; only of the rows at the cut's score are positions looked at, chunk by chunk.
+    """
+    r = ranked(rows)
+    by = r.groupBy("score").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
+    order = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    by = by.withColumn("all", F.sum("p").over(Window.partitionBy())).withColumn("budget", F.greatest(F.lit(1).cast("bigint"), F.col("all")))
+    by = by.withColumn("n0", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("p0", F.coalesce(F.sum("p").over(order), F.lit(0)))
+    top = by.where("n0 < budget").groupBy("all", "budget").agg(F.max("n0").alias("n0"), F.max_by("p0", "n0").alias("p0"), F.max_by("score", "n0").alias("cut"), F.sum("n").alias("n"))
+    tied = r.join(F.broadcast(top.select("cut", "n0", "budget")), F.col("score") == F.col("cut")).select("pos", F.col("label").cast("bigint").alias("label"), (F.col("budget") - F.col("n0")).alias("room"))
+    tied = running(tied, "pos", {"i": ("sum", F.lit(1).cast("bigint"))}, (), chunk)
+    hits = tied.where("i < room").agg(F.coalesce(F.sum("label"), F.lit(0)).alias("p1"))
+    t = top.join(hits).withColumn("hits", F.col("p0") + F.col("p1"))
     p = F.col("hits") / F.least("budget", "n")
     q = F.when(F.col("all") > 0, F.col("hits") / F.col("all")).otherwise(0.0)
     return t.select("budget", "hits", p.alias("precision"), q.alias("recall"), F.when(p + q > 0, 2 * p * q / (p + q)).otherwise(0.0).alias("f1"))
 
 
-def regions(rows: DataFrame) -> DataFrame:
+def in_regions(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The rows of label 1 with the number of their run by position, from 1."""
+    r = previous(rows, "pos", "label", "before", (), chunk)
+    r = r.withColumn("new", ((F.col("label") == 1) & (F.coalesce("before", F.lit(0)) != 1)).cast("bigint"))
+    return running(r, "pos", {"region": ("sum", F.col("new"))}, (), chunk, current=True).where("label = 1").drop("before", "new")
+
+
+def regions(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Runs of label 1 by position: ``region, first_pos, last_pos, points``."""
-    order = Window.orderBy("pos")
-    new = ((F.col("label") == 1) & (F.coalesce(F.lag("label").over(order), F.lit(0)) != 1)).cast("int")
-    r = rows.withColumn("new", new).withColumn("region", F.sum("new").over(order)).where("label = 1")
-    return r.groupBy("region").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("points"))
+    return in_regions(rows, chunk).groupBy("region").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("points"))
 
 
-def delays(rows: DataFrame, threshold: float) -> DataFrame:
+def delays(rows: DataFrame, threshold: float, chunk: int = CHUNK) -> DataFrame:
     """How far into each labelled region the first alarm comes; null if none does."""
-    alarms = rows.where(F.col("score") >= threshold).select(F.col("pos").alias("at"))
-    j = regions(rows).join(alarms, (F.col("at") >= F.col("first_pos")) & (F.col("at") <= F.col("last_pos")), "left")
-    return j.groupBy("region", "first_pos").agg((F.min("at") - F.col("first_pos")).alias("delay"))
+    by = in_regions(rows, chunk).groupBy("region").agg(F.min("pos").alias("first_pos"), F.min(F.when(F.col("score") >= threshold, F.col("pos"))).alias("at"))
+    return by.select("region", "first_pos", (F.col("at") - F.col("first_pos")).alias("delay"))
 
 
-def touches(episodes: DataFrame, truth: DataFrame, slack_ms: int, name: str) -> DataFrame:
+def touches(episodes: DataFrame, truth: DataFrame, slack_ms: int, name: str, bucket_ms: int = DAY) -> DataFrame:
     """``episodes`` with whether any truth interval of the channel, padded by the slack, meets theirs."""
-    t = truth.select("channel", F.col("t_start_ms").alias("f0"), F.col("t_end_ms").alias("f1"))
-    hit = episodes.select("channel", "t_start_ms", "t_end_ms").join(t, "channel").where(f"t_start_ms <= f1 + {slack_ms} AND f0 - {slack_ms} <= t_end_ms")
+    t = truth.select("channel", (F.col("t_start_ms") - slack_ms).alias("f0"), (F.col("t_end_ms") + slack_ms).alias("f1"))
+    hit = overlap_join(episodes.select("channel", "t_start_ms", "t_end_ms"), t, ("t_start_ms", "t_end_ms"), ("f0", "f1"), bucket_ms, ["channel"])
     hit = hit.select("channel", "t_start_ms").distinct().withColumn(name, F.lit(True))
     return episodes.join(hit, ["channel", "t_start_ms"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
@@ -112,11 +130,12 @@ def parity(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
     )
 
 
-def window_labels(windows: DataFrame, points: DataFrame) -> DataFrame:
+def window_labels(windows: DataFrame, points: DataFrame, bucket_ms: int = DAY) -> DataFrame:
     """Whether a window [start, end) holds any labelled point of its channel."""
-    p = points.where("label = 1").select(F.col("channel").alias("c"), "event_ts_ms")
-    j = windows.join(p, (F.col("channel") == F.col("c")) & (F.col("event_ts_ms") >= F.col("start_ms")) & (F.col("event_ts_ms") < F.col("end_ms")), "left_semi")
-    return windows.join(j.select("channel", "start_ms").withColumn("label", F.lit(1)), ["channel", "start_ms"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    p = points.where("label = 1").select("channel", F.col("event_ts_ms").alias("at"), F.col("event_ts_ms").alias("at_end")).distinct()
+    w = windows.select("channel", "start_ms", (F.col("end_ms") - 1).alias("last_ms"))
+    j = overlap_join(w, p, ("start_ms", "last_ms"), ("at", "at_end"), bucket_ms, ["channel"]).select("channel", "start_ms").distinct()
+    return windows.join(j.withColumn("label", F.lit(1)), ["channel", "start_ms"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
 def sweep(values: DataFrame, column: str, bars: list[int]) -> DataFrame:

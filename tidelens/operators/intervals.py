@@ -62,18 +62,24 @@ def union(rows: DataFrame, start: str, end: str, *keys: str) -> DataFrame:
     return r.groupBy(*keys, "__i").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("merged")).drop("__i")
 
 
-def nearest(points: DataFrame, marks: DataFrame, at: str = "at_ms") -> DataFrame:
+def nearest(points: DataFrame, marks: DataFrame, at: str = "at_ms", bucket_ms: int = 86_400_000) -> DataFrame:
     """For each mark (``channel``, ``at``) its channel's nearest point (``event_ts_ms``, ``value``) in either direction,
-    the earlier of two as near. Per channel, marks and points are merged in one sorted pass."""
-    both = points.select("channel", F.col("event_ts_ms").alias("t"), "arrival", "value", F.lit(None).cast("bigint").alias("mark")).unionByName(
-        marks.select("channel", F.col(at).alias("t"), F.lit(None).cast("bigint").alias("arrival"), F.lit(None).cast("double").alias("value"), F.col(at).alias("mark")).distinct()
-    )
-    point = F.when(F.col("mark").isNull(), F.struct("t", "arrival", "value"))
-    order = Window.partitionBy("channel").orderBy("t", F.col("mark").isNotNull(), "arrival")
-    before = F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(point, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    m = both.withColumn("p", before).withColumn("q", after).where("mark IS NOT NULL")
-    # Of several points at one time the first to arrive counts: look it up among equals.
+    the earlier of two as near, of several at one time the first to arrive.
+
+    Points and marks are merged and sorted bucket by bucket; where a bucket has no point before or behind a mark, the
+    next bucket with points lends its last or first one.
+    """
     first = points.groupBy("channel", "event_ts_ms").agg(F.min_by("value", "arrival").alias("value"))
-    t = F.when(F.col("q").isNull() | (F.col("mark") - F.col("p.t") <= F.col("q.t") - F.col("mark")), F.col("p.t")).otherwise(F.col("q.t"))
-    return m.select("channel", F.col("mark").alias(at), t.alias("event_ts_ms")).join(first, ["channel", "event_ts_ms"]).select("channel", at, "event_ts_ms", "value")
+    p = first.select("channel", floor_to("event_ts_ms", bucket_ms).alias("b"), F.col("event_ts_ms").alias("t"), F.struct(F.col("event_ts_ms").alias("t"), "value").alias("point"), F.lit(None).cast("bigint").alias("mark"))
+    m = marks.select("channel", floor_to(at, bucket_ms).alias("b"), F.col(at).alias("t"), F.lit(None).cast(p.schema["point"].dataType).alias("point"), F.col(at).alias("mark")).distinct()
+    ends = p.groupBy("channel", "b").agg(F.min("point").alias("low"), F.max("point").alias("high")).unionByName(
+        m.select("channel", "b").distinct(), allowMissingColumns=True).groupBy("channel", "b").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    order = Window.partitionBy("channel").orderBy("b")
+    lent = ends.select("channel", "b", F.last("high", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("lent0"), F.first("low", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("lent1"))
+    # Only buckets with marks are sorted.
+    both = p.join(m.select("channel", "b").distinct(), ["channel", "b"], "left_semi").unionByName(m)
+    here = Window.partitionBy("channel", "b").orderBy("t", F.col("mark").isNotNull())
+    both = both.withColumn("p0", F.last("point", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1))).withColumn("p1", F.first("point", ignorenulls=True).over(here.rowsBetween(1, Window.unboundedFollowing)))
+    m = both.where("mark IS NOT NULL").join(lent, ["channel", "b"]).withColumn("p0", F.coalesce("p0", "lent0")).withColumn("p1", F.coalesce("p1", "lent1"))
+    near = F.when(F.col("p1").isNull() | (F.col("mark") - F.col("p0.t") <= F.col("p1.t") - F.col("mark")), F.col("p0")).otherwise(F.col("p1"))
+    return m.withColumn("near", near).where("near IS NOT NULL").select("channel", F.col("mark").alias(at), F.col("near.t").alias("event_ts_ms"), F.col("near.value").alias("value"))

@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions.expressions import floor_to, grade
+from tidelens.operators.chunks import CHUNK, running
 
 
-def label(readings: DataFrame) -> DataFrame:
+def label(readings: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """What each reading does to its channel's ledger, in order of arrival: ``missing``, ``duplicate``, ``regression``.
 
     Against the highest number so far: the next one is fine, a later one leaves a gap, the same one is a
     duplicate and an earlier one a regression, even if it fills a gap.
     """
-    before = Window.partitionBy("channel").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    r = readings.withColumn("high", F.max("seq").over(before))
+    r = running(readings, "arrival", {"high": ("max", F.col("seq"))}, ("channel",), chunk)
     return r.withColumns({
         "missing": F.when(F.col("seq") > F.col("high") + 1, F.col("seq") - F.col("high") - 1).otherwise(0).cast("bigint"),
         "duplicate": F.coalesce((F.col("seq") == F.col("high")).cast("bigint"), F.lit(0).cast("bigint")),

@@ -76,11 +76,11 @@ def decide(episodes: DataFrame, verdicts: DataFrame, available: bool = True) ->
     }).drop("v")
 
 
-def second_opinions(episodes: DataFrame, scores: DataFrame, agrees_at: float = 3.0) -> DataFrame:
+def second_opinions(episodes: DataFrame, scores: DataFrame, agrees_at: float = 3.0, bucket_ms: int = 86_400_000) -> DataFrame:
     """What a second detector's scores (``channel, start_ms, end_ms, score``) say of each episode: agrees, dissents or abstains."""
     s = scores.select("channel", F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1"), "score")
     progress = s.groupBy("channel").agg(F.max("s1").alias("progress"))
-    j = episodes.select("channel", "t_start_ms", "t_end_ms").join(s, "channel").where("t_start_ms <= s1 AND s0 <= t_end_ms")
+    j = overlap_join(episodes.select("channel", "t_start_ms", "t_end_ms"), s, ("t_start_ms", "t_end_ms"), ("s0", "s1"), bucket_ms, ["channel"])
     best = j.groupBy("channel", "t_start_ms").agg(F.max("score").alias("best"))
     e = episodes.select("channel", "t_start_ms", "t_end_ms").join(best, ["channel", "t_start_ms"], "left").join(progress, "channel", "left")
     opinion = F.when(F.col("best") >= agrees_at, "agrees").when(F.col("best").isNull() | (F.col("progress") < F.col("t_end_ms")), "abstains").otherwise("dissents")
@@ -88,12 +88,19 @@ def second_opinions(episodes: DataFrame, scores: DataFrame, agrees_at: float = 3
 
 
 def shoulders(episodes: DataFrame, scores: DataFrame, threshold: float, fraction: float) -> DataFrame:
-    """Windows that end by the episode's start, the newest first, up to the first below ``fraction`` of the threshold."""
-    s = scores.select("channel", F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1"), "score")
-    j = episodes.select("channel", "t_start_ms").join(s, "channel").where("s1 <= t_start_ms")
-    j = j.withColumn("failed", F.max(F.when(F.col("score") < threshold * fraction, F.col("s0"))).over(Window.partitionBy("channel", "t_start_ms")))
-    n = j.groupBy("channel", "t_start_ms").agg(F.count(F.when(F.col("failed").isNull() | (F.col("s0") > F.col("failed")), 1)).alias("shoulder"))
-    return episodes.select("channel", "t_start_ms").join(n, ["channel", "t_start_ms"], "left").withColumn("shoulder", F.coalesce("shoulder", F.lit(0)))
+    """Windows that end by the episode's start, the newest first, up to the first below ``fraction`` of the threshold.
+
+    Each window knows the length of the run of high windows that it ends; an episode takes that of the last window before it.
+    """
+    fails = (F.col("score") < threshold * fraction).cast("int")
+    order = Window.partitionBy("channel").orderBy("start_ms")
+    s = scores.select("channel", "start_ms", "end_ms", fails.alias("fails")).withColumn("part", F.sum("fails").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    run = F.sum(1 - F.col("fails")).over(Window.partitionBy("channel", "part").orderBy("start_ms").rowsBetween(Window.unboundedPreceding, 0))
+    ends = s.select("channel", F.col("end_ms").alias("t"), run.alias("run"), F.lit(None).cast("bigint").alias("t_start_ms"))
+    both = ends.unionByName(episodes.select("channel", F.col("t_start_ms").alias("t"), F.lit(None).cast("bigint").alias("run"), "t_start_ms"))
+    before = Window.partitionBy("channel").orderBy("t", F.col("t_start_ms").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    out = both.withColumn("shoulder", F.coalesce(F.last("run", ignorenulls=True).over(before), F.lit(0)))
+    return out.where("t_start_ms IS NOT NULL").select("channel", "t_start_ms", "shoulder")
 
 
 def finish(decided: DataFrame, opinions: DataFrame, persistence: DataFrame, protects: bool = True, persistence_protects: bool = False) -> DataFrame:
@@ -120,4 +127,5 @@ def finish(decided: DataFrame, opinions: DataFrame, persistence: DataFrame, prot
 def release(episodes: DataFrame, evidence_ms: int, buffer_ms: int) -> DataFrame:
     """Episodes in order of onset, with whether the evidence has passed the onset by the buffer."""
     began = F.coalesce("onset_ms", "t_start_ms")
-    return episodes.select("channel", "t_start_ms", began.alias("began_ms"), (began + buffer_ms <= evidence_ms).alias("released"))
+    e = episodes.select("channel", "t_start_ms", began.alias("began_ms"), (began + buffer_ms <= evidence_ms).alias("released"))
+    return e.orderBy("began_ms", "channel", "t_start_ms")

@@ -14,6 +14,7 @@ OFFERS = {
     "level_shift": ["describe_channel", "fetch_recent_readings", "request_recalibration", "raise_ticket"],
 }
 READS = ["describe_channel", "fetch_recent_readings"]
+#: Actions an episode may take, and reversible ones among them.
 BUDGET, REVERSIBLE_BUDGET = 6, 2
 
 

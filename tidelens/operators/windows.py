@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions.expressions import floor_to
+from tidelens.operators.chunks import CHUNK, running
 
+#: Fixed value: the weight of a reading against the one after it.
 DECAY = 0.995
 
 
@@ -31,40 +33,50 @@ def assign(readings: DataFrame, size: int, slide: int) -> DataFrame:
     return readings.withColumn("start_ms", F.explode(F.sequence(last - (size - slide), last, F.lit(slide).cast("bigint"))))
 
 
-def mark_late(readings: DataFrame, lateness_ms: int) -> DataFrame:
+def mark_late(readings: DataFrame, lateness_ms: int, chunk: int = CHUNK) -> DataFrame:
     """``is_late``: below the channel's highest event time so far, in order of arrival, by more than the lateness."""
-    order = Window.partitionBy("channel").orderBy("arrival").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return readings.withColumn("is_late", F.col("event_ts_ms") < F.max("event_ts_ms").over(order) - lateness_ms)
+    r = running(readings, "arrival", {"__high": ("max", F.col("event_ts_ms"))}, ("channel",), chunk, current=True)
+    return r.withColumn("is_late", F.col("event_ts_ms") < F.col("__high") - lateness_ms).drop("__high")
 
 
 def panes(readings: DataFrame, slide: int) -> DataFrame:
-    """One row a channel and pane of ``slide`` ms: counts, sums and sums decayed towards the pane's last reading.
+    """One row a channel and pane of ``slide`` ms: count, mean and sum of squares about it, plain (``n, mean, m2``) and decayed
+    towards the pane's last reading (``dw, dmean, dm2``).
 
-    Windows are put together from panes, so each reading is shuffled once and not once a window.
+    Windows are put together from panes, so each reading is shuffled once and not once a window. Sums are of distances from
+    the pane's mean, so nothing cancels at a large offset.
     """
     pane = readings.withColumn("pane", floor_to("event_ts_ms", slide))
-    order = Window.partitionBy("channel", "pane").orderBy("event_ts_ms", "arrival")
-    pane = pane.withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("channel", "pane")))
-    w = F.pow(F.lit(DECAY), F.col("n") - F.col("i"))
-    return pane.groupBy("channel", "pane").agg(
-        F.count("*").alias("n"), F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2"),
-        F.sum(w).alias("dw"), F.sum(w * F.col("value")).alias("d1"), F.sum(w * F.col("value") * F.col("value")).alias("d2"),
+    every = Window.partitionBy("channel", "pane")
+    pane = pane.withColumn("i", F.row_number().over(every.orderBy("event_ts_ms", "arrival"))).withColumn("n", F.count("*").over(every)).withColumn("c", F.avg("value").over(every))
+    w, off = F.pow(F.lit(DECAY), F.col("n") - F.col("i")), F.col("value") - F.col("c")
+    p = pane.groupBy("channel", "pane").agg(
+        F.count("*").alias("n"), F.min("c").alias("c"), F.sum(off).alias("s1"), F.sum(off * off).alias("s2"),
+        F.sum(w).alias("dw"), F.sum(w * off).alias("d1"), F.sum(w * off * off).alias("d2"),
     )
+    return p.select("channel", "pane", "n", *_about("n", "s1", "s2", "mean", "m2"), "dw", *_about("dw", "d1", "d2", "dmean", "dm2"))
+
+
+def _about(weight: str, s1: str, s2: str, mean: str, m2: str):
+    """Mean and sum of squares about it from sums of distances from ``c``."""
+    w, a, b = (F.col(x) for x in (weight, s1, s2))
+    return (F.col("c") + a / w).alias(mean), F.greatest(b - a * a / w, F.lit(0.0)).alias(m2)
 
 
 def summaries(readings: DataFrame, windows: Sliding) -> DataFrame:
-    """``channel, start_ms, end_ms, n``, mean and sample variance, and the decayed weight and sums of each window that is not thin."""
+    """``channel, start_ms, end_ms, n``, mean and sample variance, and the decayed weight, mean and sum of squares of each window that is not thin."""
     p = panes(readings, windows.slide)
     w = p.withColumn("start_ms", F.explode(F.sequence(F.col("pane") - (windows.size - windows.slide), F.col("pane"), F.lit(windows.slide).cast("bigint"))))
-    behind = Window.partitionBy("channel", "start_ms").orderBy("pane").rowsBetween(1, Window.unboundedFollowing)
-    w = w.withColumn("f", F.pow(F.lit(DECAY), F.coalesce(F.sum("n").over(behind), F.lit(0))))
+    order = Window.partitionBy("channel", "start_ms").orderBy("pane")
+    w = w.withColumn("f", F.pow(F.lit(DECAY), F.coalesce(F.sum("n").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))) * F.col("dw"))
+    w = w.withColumn("c", F.first("mean").over(order)).withColumn("off", F.col("mean") - F.col("c")).withColumn("doff", F.col("dmean") - F.col("c"))
     w = w.groupBy("channel", "start_ms").agg(
-        F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"),
-        F.sum(F.col("f") * F.col("dw")).alias("dw"), F.sum(F.col("f") * F.col("d1")).alias("d1"), F.sum(F.col("f") * F.col("d2")).alias("d2"),
+        F.sum("n").alias("n"), F.min("c").alias("c"), F.sum(F.col("n") * F.col("off")).alias("s1"), F.sum(F.col("m2") + F.col("n") * F.col("off") * F.col("off")).alias("s2"),
+        F.sum("f").alias("d0"), F.sum(F.col("f") * F.col("doff")).alias("d1"), F.sum(F.col("f") / F.col("dw") * F.col("dm2") + F.col("f") * F.col("doff") * F.col("doff")).alias("d2"),
     ).where(F.col("n") >= windows.least)
-    mean = F.col("s1") / F.col("n")
-    var = F.greatest(F.col("s2") - F.col("s1") * mean, F.lit(0.0)) / F.greatest(F.col("n") - 1, F.lit(1))
-    return w.select("channel", "start_ms", (F.col("start_ms") + windows.size).alias("end_ms"), "n", mean.alias("mean"), var.alias("var"), "dw", "d1", "d2")
+    w = w.select("channel", "start_ms", "n", F.col("d0").alias("dw"), *_about("n", "s1", "s2", "mean", "m2"), *_about("d0", "d1", "d2", "dmean", "dm2"))
+    var = F.col("m2") / F.greatest(F.col("n") - 1, F.lit(1))
+    return w.select("channel", "start_ms", (F.col("start_ms") + windows.size).alias("end_ms"), "n", "mean", var.alias("var"), "dw", "dmean", "dm2")
 
 
 def fleet_watermark(readings: DataFrame, lateness_ms: int, idle_ms: int = 60_000) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions.expressions import epoch_ms
+from tidelens.operators.chunks import CHUNK, running
 
 DAY, HOUR = 86_400_000, 3_600_000
 FIRST_DAY = 1_704_067_200_000  # 2024-01-01
@@ -17,9 +18,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def assign_sequence(rows: DataFrame, key: str = "channel", order: str = "arrival") -> DataFrame:
+def assign_sequence(rows: DataFrame, key: str = "channel", order: str = "arrival", chunk: int = CHUNK) -> DataFrame:
     """A dense number from 1 for each row of a channel in order of arrival."""
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("bigint"))
+    return running(rows, order, {"seq": ("sum", F.lit(1).cast("bigint"))}, (key,), chunk, current=True)
 
 
 def readings(spark: SparkSession, sf_dir: str, by_node: bool = False) -> DataFrame:
