@@ -6,7 +6,7 @@ import json
 import os
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, pairwise
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -15,19 +15,21 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
 #: Pieces remembered in each of two generations, the longest piece worth remembering, characters of text and words encoded at a time.
-REMEMBERED, LONGEST, TEXT, WORDS = 400_000, 64, 2_000_000, 200
+REMEMBERED, LONGEST, TEXT, WORDS = 700_000, 64, 2_000_000, 200
 #: Characters whose class and lower case no library disagrees about.
 PLAIN = bytes([10, *range(32, 127), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
 
 
-def _letters(word: str) -> str:
-    """A word's UTF-8 bytes in the byte-level alphabet: printable Latin-1 bytes are themselves, the others the code points
-    from 256 on in ascending order."""
-    return "".join([ALPHABET[b] for b in word.encode()])
+#: The byte-level alphabet: printable Latin-1 bytes are themselves, the others the code points from 256 on in ascending order.
+_SELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
+ALPHABET = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SELF)}
+#: Letters and digits of Latin-1 to "a", the rest as it is.
+ALNUM = bytes(97 if chr(c).isalnum() else c for c in range(256))
 
 
-_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
-ALPHABET = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_SELF))}
+def _letters(word: str) -> str:
+    """A word's UTF-8 bytes in the byte-level alphabet."""
+    return word.encode().decode("latin-1").translate(ALPHABET)
 
 
 class Encoder:
@@ -78,57 +80,57 @@ class Encoder:
 
     def _joint(self, words: list[str], before: str) -> None:
         """Ids of words of letters only, each after ``before``: cut where the vocabulary marks a word's start or end."""
+        own = ("\u010a " if before == "\n" else "\u0120") if self.kind == "spaced" else ""
         parts = [words[i : i + WORDS] for i in range(0, len(words), WORDS)]
-        if before == " ":
-            own = "\u0120" if self.kind == "spaced" else ""
-            found = self.bare.encode_batch_fast([" ".join([own + (w if w.isascii() else _letters(w)) for w in p]) for p in parts], add_special_tokens=False)
-        else:
-            found = self.tokenizer.encode_batch_fast([before + before.join(p) for p in parts], add_special_tokens=False)
-        for some, encoding in zip(parts, found, strict=True):
+        lead, pieces = "" if before == " " else before, self.pieces
+        for some, encoding in zip(parts, self.bare.encode_batch_fast([own + (" " + own).join([w if w.isascii() else _letters(w) for w in p]) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(encoding.ids, "<u4")
-            cuts = np.flatnonzero(self.marks[ids]) + (self.kind == "words")
-            edges = [0, *cuts.tolist()] if self.kind == "words" else [*cuts.tolist(), len(ids)]
+            cuts = 4 * np.flatnonzero(self.marks[ids])
             raw = ids.tobytes()
+            edges = [0, *(cuts + 4).tolist()] if self.kind == "words" else [*cuts.tolist(), len(raw)]
             if len(edges) != len(some) + 1:
                 raise ValueError("words and marks of the vocabulary do not match")
-            for w, a, b in zip(some, edges, edges[1:], strict=False):
-                self.pieces[w if before == " " else before + w] = raw[4 * a : 4 * b]
+            pieces.update(zip([lead + w for w in some] if lead else some, [raw[a:b] for a, b in pairwise(edges)], strict=True))
 
     def _learn(self, missing: set[str]) -> None:
-        parts = {p: self._atoms(p) for p in sorted(missing)}
-        new = dict.fromkeys(a for v in parts.values() for a in v if a not in self.pieces)
-        known = [a for a in new if a in self.old]
-        self.pieces.update((a, self.old[a]) for a in known)
-        new = [a for a in new if a not in self.old]
+        old, pieces = self.old, self.pieces
+        known = old.keys() & missing
+        pieces.update(zip(known, map(old.__getitem__, known), strict=True))
+        self._joint([p for p in missing if p not in known and p.isalpha()], " ")
+        parts = {p: self._atoms(p) for p in missing if p not in pieces}
+        new = list(dict.fromkeys(a for v in parts.values() for a in v if a not in pieces))
         self._joint([a for a in new if a.isalpha()], " ")
         if self.kind == "spaced":
             # A text's first word has the ids that it has after a line feed, without the line feed's.
             first = [a[1:] for a in new if a[0] == "\0" and a[1:].isalpha()]
-            self._joint(list(dict.fromkeys([*[a[1:] for a in new if a[0] == "\n" and a[1:].isalpha()], *[w for w in first if "\n" + w not in self.pieces]])), "\n")
-            self.pieces.update(("\0" + w, self.pieces["\n" + w][4:]) for w in first)
+            self._joint(list(dict.fromkeys([*[a[1:] for a in new if a[0] == "\n" and a[1:].isalpha()], *[w for w in first if "\n" + w not in pieces]])), "\n")
+            pieces.update(("\0" + w, pieces["\n" + w][4:]) for w in first)
         for a in new:
-            if a not in self.pieces:
+            if a not in pieces:
                 plain = self.kind == "words" or a[0] == "\n"
-                self.pieces[a] = self.library(a if plain else a[1:] if a[0] == "\0" else " " + a)
+                pieces[a] = self.library(a if plain else a[1:] if a[0] == "\0" else " " + a)
         for p, v in parts.items():
-            if p not in self.pieces:
-                self.pieces[p] = b"".join([self.pieces[a] for a in v])
+            if p not in pieces:
+                pieces[p] = b"".join([pieces[a] for a in v])
 
     def _cut(self, text: str) -> list[str] | None:
         """A plain text's pieces; none for a text that the library must see as a whole."""
         try:
-            if self.kind == "other" or text.encode("latin-1").translate(None, PLAIN):
+            if self.kind == "other" or (raw := text.encode("latin-1")).translate(None, PLAIN):
                 return None
         except UnicodeEncodeError:
             return None
         lower = text.lower() if self.added or self.kind == "words" else text
         if any(x in lower for x in self.added):
             return None
+        # A comma or point behind a letter or digit starts a piece of its own.
+        shape = raw.translate(ALNUM)
+        marks = all(shape.count(x) == shape.count(b"a" + x) for x in (b",", b"."))
         if self.kind == "words":
-            return lower.split()
+            return (lower.replace(",", " ,").replace(".", " .") if marks else lower).split()
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n":
             return None
-        return ("\0" + text).split(" ")
+        return ("\0" + (text.replace(",", " \0,").replace(".", " \0.").replace("\n", " \n") if marks else text)).split(" ")
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         some, size = [], 0
