@@ -3,7 +3,7 @@
 A file: MAGIC, version (u2), bytes an id (u2), SHA-256 of the dictionary; the frames; the index, three arrays
 over its documents of doc_id (i8, smallest value: null), frame end (u8) and number of ids (u8); then the number of
 documents (u8), the index's place (u8) and MAGIC. All numbers are little-endian. Beside the files lie
-``dictionary`` and ``manifest.json`` with each file's number of documents and of ids before it.
+``dictionary`` and ``manifest.json`` with each file's number of documents, first and last doc_id, and the ids before it.
 """
 
 from __future__ import annotations
@@ -27,18 +27,23 @@ from tidelens.llm._tokens import encoder
 MAGIC, VERSION, NO_ID = b"TLTOKENS", 1, -(2**63)
 HEADER, FOOTER = "<8sHH32s", "<QQ8s"
 HEAD, FOOT = struct.calcsize(HEADER), struct.calcsize(FOOTER)
-#: The dictionary: documents sampled to train it (those with the smallest hashes among texts of at most so many characters), and its bytes.
-SAMPLE, SAMPLE_CHARS, DICTIONARY = 1000, 20_000, 65_536
+#: The dictionary: documents sampled to train it (those with the smallest hashes among texts of at most so many characters), its
+#: bytes at most, and bytes of samples it needs for one of its own. Bytes of frames after which the next file begins.
+SAMPLE, SAMPLE_CHARS, DICTIONARY, SHARE, FILE_BYTES = 1000, 20_000, 65_536, 8, 64 << 20
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
-    """A dictionary from a bounded sample's serialized ids; empty if there are too few to train one."""
+    """A dictionary from a bounded sample's serialized ids, a SHARE-th of their bytes; without anything to learn from, empty."""
     some = need(docs, "doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE)
     encode = encoder(tokenizer).encode
     samples = [_narrow(ids + _id(end_id), width) for ids in encode(r["text"] for r in some.toLocalIterator())]
-    if sum(map(len, samples)) < 8 * DICTIONARY or len(samples) < 16:
+    size = min(DICTIONARY, sum(map(len, samples)) // SHARE)
+    if not size:
         return b""
-    return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:  # too few samples, or too much alike, for the trainer: their own bytes serve as the dictionary
+        return b"".join(samples)[:size]
 
 
 def _id(i: int) -> bytes:
@@ -79,45 +84,65 @@ def _encoded(tokenizer: str, end_id: int, width: int, dictionary: bytes) -> Call
     return run
 
 
-def _written(folder: str, width: int, dictionary: bytes) -> Callable:
+def _written(folder: str, width: int, dictionary: bytes, file_bytes: int) -> Callable:
+    """Rows (doc_id, n, frame) in order to files of about ``file_bytes``, each with its index."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = FileSystem.from_uri(folder)
-        task = TaskContext.get()
-        name = f"part-{task.partitionId():06d}.tok"
-        attempt = f"{top}/_{name}.{task.taskAttemptId()}"
-        ids, ends, counts, at, out = [], [], [], HEAD, None
+        task, made, out = TaskContext.get(), [], None
+        ids, ends, counts, at = [], [], [], HEAD
+
+        def begin() -> None:
+            nonlocal out, name, attempt
+            name = f"part-{task.partitionId():06d}-{len(made):06d}.tok"
+            attempt = f"{top}/_{name}.{task.taskAttemptId()}"
+            out = fs.open_output_stream(attempt, compression=None)
+            out.write(struct.pack(HEADER, MAGIC, VERSION, width, hashlib.sha256(dictionary).digest()))
+
+        def end() -> None:
+            nonlocal out, ids, ends, counts, at
+            n = sum(map(len, ids))
+            for parts, kind in ((ids, "<i8"), (ends, "<u8"), (counts, "<u8")):
+                out.write(np.concatenate(parts).astype(kind).tobytes())
+            out.write(struct.pack(FOOTER, n, at, MAGIC))
+            out.close()
+            fs.move(attempt, f"{top}/{name}")  # a repeated task writes the same file again
+            made.append((name, n, int(sum(x.sum() for x in counts)), int(ids[0][0]), int(ids[-1][-1])))
+            out, ids, ends, counts, at = None, [], [], [], HEAD
+
+        name = attempt = ""
         for b in batches:
-            if not b.num_rows:
-                continue
-            if out is None:
-                out = fs.open_output_stream(attempt, compression=None)
-                out.write(struct.pack(HEADER, MAGIC, VERSION, width, hashlib.sha256(dictionary).digest()))
             sizes = np.fromiter((len(f.as_buffer()) for f in b.column(2)), np.int64, b.num_rows)
-            for f in b.column(2):
-                out.write(f.as_buffer())
-            ids.append(b.column(0).fill_null(NO_ID).to_numpy())
-            ends.append(at + np.cumsum(sizes))
-            counts.append(b.column(1).to_numpy())
-            at = int(ends[-1][-1])
-        if out is None:
-            return
-        n = sum(map(len, ids))
-        for parts, kind in ((ids, "<i8"), (ends, "<u8"), (counts, "<u8")):
-            out.write(np.concatenate(parts).astype(kind).tobytes())
-        out.write(struct.pack(FOOTER, n, at, MAGIC))
-        out.close()
-        fs.move(attempt, f"{top}/{name}")  # a repeated task writes the same file again
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([int(sum(x.sum() for x in counts))])], ["file", "docs", "ids"])
+            doc, n = b.column(0).fill_null(NO_ID).to_numpy(), b.column(1).to_numpy()
+            first = 0
+            while first < b.num_rows:
+                # As many documents as fit into this file, one at least.
+                fits = first + max(1, int(np.searchsorted(np.cumsum(sizes[first:]), file_bytes - at + HEAD, "right")))
+                if out is None:
+                    begin()
+                for i in range(first, fits):
+                    out.write(b.column(2)[i].as_buffer())
+                ids.append(doc[first:fits])
+                ends.append(at + np.cumsum(sizes[first:fits]))
+                counts.append(n[first:fits])
+                at, first = int(ends[-1][-1]), fits
+                if at - HEAD >= file_bytes or first < b.num_rows:
+                    end()
+        if out is not None:
+            end()
+        columns = list(zip(*made, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 4), strict=True)], ["file", "docs", "ids", "first", "last"])
 
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int | None = None) -> None:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int | None = None, file_bytes: int = FILE_BYTES) -> None:
     """Encode ``doc_id``, ``text`` and write files to ``folder`` (shared by all executors) in ascending doc_id order.
 
     A null or empty text is its end token alone. Null doc_ids come first; rows that repeat a doc_id are all
     kept, ordered by their ids' frames. ``width`` is the bytes an id takes, 2 or 4, by default as the
-    vocabulary needs; an id that does not fit raises. An empty table gives a
+    vocabulary needs; an id that does not fit raises. Files begin anew after ``file_bytes``. Rows of one doc_id, or null ones, are dealt
+    to several tasks by their frames. An empty table gives a
     manifest without files. Only the manifest's rows, one a file, and the sample reach the driver.
     """
     folder = as_uri(folder)
@@ -129,11 +154,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, widt
         f.write(dictionary)
     d = need(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), "text")
     d = materialise(d.mapInArrow(_encoded(tokenizer, end_id, width, dictionary), "doc_id bigint, n bigint, frame binary"), "frames")
-    d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "frame")
-    files = sorted(tuple(r) for r in d.mapInArrow(_written(folder, width, dictionary), "file string, docs bigint, ids bigint").toLocalIterator())
+    d = d.repartitionByRange("doc_id", "frame").sortWithinPartitions("doc_id", "frame")
+    files = sorted(tuple(r) for r in d.mapInArrow(_written(folder, width, dictionary, file_bytes), "file string, docs bigint, ids bigint, first bigint, last bigint").toLocalIterator())
     manifest, before = [], 0
-    for name, n, ids in files:
-        manifest.append({"file": name, "docs": n, "ids": ids, "before": before})
+    for name, n, ids, first, last in files:
+        manifest.append({"file": name, "docs": n, "ids": ids, "before": before, "first": first, "last": last})
         before += ids
     with fs.open_output_stream(f"{top}/manifest.json") as f:
         f.write(json.dumps({"dictionary": hashlib.sha256(dictionary).hexdigest(), "end_id": end_id, "files": manifest}).encode())
@@ -173,7 +198,7 @@ def read_document(folder: str, doc_id: int) -> list[np.ndarray]:
     with fs.open_input_stream(f"{top}/manifest.json") as f:
         files = json.loads(f.read())["files"]
     found = []
-    for x in files:
+    for x in (x for x in files if x["first"] <= doc_id <= x["last"]):
         t = TokenFile(folder, x["file"])
         a, b = np.searchsorted(t.doc_ids, [doc_id, doc_id + 1])
         found += [t.ids(i) for i in range(a, b)]
