@@ -10,41 +10,74 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from tidelens.llm._shared import materialise, need
 
 LENGTH = 400
 #: Snippets of one key compared in one task, starts of a block at each narrower level, text positions sorted at a time, window starts scanned at a time.
 GROUP, LEVELS, SORTED, SCANNED = 128, (32, 4, 1), 1 << 20, 1 << 19
-BASE, SEED = 0x9E3779B97F4A7C15, 11
+BASE, PRIME, BITS, SEED = 0x9E3779B97F4A7C15, np.uint64((1 << 31) - 1), np.uint64(31), 11
 #: Rows of a key: the snippet's name, how many there are, its text, the anchor's place in it, whether it has several.
 SNIPPETS = "key bigint, snip bigint, n bigint, text binary, align int, multi boolean, doc_id bigint, th bigint, at bigint"
 
 
-def _letters() -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
 
-class Rolling:
-    """64-bit polynomial hashes of any substrings of a text."""
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """Below 2^64 to the rest by PRIME."""
+    for _ in range(3):
+        x = (x & PRIME) + (x >> BITS)
+    return np.where(x == PRIME, np.uint64(0), x)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out, done = np.ones(n, np.uint64), 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = _modulo(out[:more] * np.uint64(base))
+        base, done = base * base % int(PRIME), done * 2
+    return out
+
+
+class Anchors:
+    """Quick 64-bit hashes of any substrings of a text, for choosing anchors only: texts with equal hashes need not be equal."""
 
     def __init__(self, text: np.ndarray):
-        n = len(text) + 1
+        n, letters = len(text) + 1, np.random.default_rng(SEED).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 2**64), np.uint64)
         up[0] = down[0] = 1
         self.down = np.cumprod(down)
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(_letters()[text] * np.cumprod(up)[:-1], out=self.sums[1:])
+        np.cumsum(letters[text] * np.cumprod(up)[:-1], out=self.sums[1:])
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mix((self.sums[b] - self.sums[a]) * self.down[a] + np.asarray(b - a).astype(np.uint64))
 
 
+class Rolling:
+    """Hashes of any substrings of a text: two polynomials of random base and letters modulo a prime, 62 bits together.
+
+    (Modulo a power of two, a Thue-Morse string and its complement would have one hash whatever the base.)
+    """
+
+    def __init__(self, text: np.ndarray):
+        r, n = np.random.default_rng(SEED), len(text)
+        self.parts = []
+        for _ in range(2):
+            base, letters = int(r.integers(1 << 20, int(PRIME) - 1)), r.integers(1, int(PRIME) - 1, 256).astype(np.uint64)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_modulo(letters[text] * _powers(base, n)), out=sums[1:])
+            self.parts.append((_modulo(sums), _powers(pow(base, -1, int(PRIME)), n + 1)))
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        one, two = (_modulo((sums[b] + PRIME - sums[a]) * down[a]) for sums, down in self.parts)
+        return _mix((one << BITS | two) + np.asarray(b - a).astype(np.uint64))
+
+
 class Regions(NamedTuple):
     anchor: np.ndarray
     snip: np.ndarray
@@ -66,7 +99,7 @@ def regions(text: np.ndarray, length: int) -> Regions | None:
     if windows <= 0:
         return None
     firsts, places, w = [], [], length - k + 1
-    roll = Rolling(text)
+    roll = Anchors(text)
     for at in range(0, windows, SCANNED):
         m = min(SCANNED, windows - at)
         i = np.arange(at, at + m + w - 1)
@@ -91,7 +124,9 @@ def regions(text: np.ndarray, length: int) -> Regions | None:
     end = np.maximum.reduceat(end, head)
     first, multi = first[head], np.diff(np.r_[head, len(joined)]) > 1
     align = np.where(multi, -1, place[head] - first)
-    snip = _mix(roll(first, end) + align.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    raw = memoryview(text)
+    snip = np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), end.tolist(), strict=True)), np.uint64, len(first))
+    snip = _mix(snip + align.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     return Regions(anchor[head].view(np.int64), snip.view(np.int64), first, (end - first).astype(np.int32), align.astype(np.int32), multi)
 
 
