@@ -119,11 +119,30 @@ def test_token_files_round_trip(spark):
     want = collections.Counter((i, np.array([*encode("word_bpe_49k.json", t), 1], "<u4").tobytes()) for i, t in zip(ids, texts, strict=True))
     assert want == collections.Counter((x["doc_id"], bytes(x["ids"])) for x in got)
     assert sorted(x.tobytes() for x in token_files.read_document(folder, 7)) == sorted(b for (i, b), n in want.items() if i == 7 for _ in range(n))
+    rolled = scratch(spark, "test")
+    token_files.write_tokens(table(spark, texts, ids).coalesce(1), rolled, public_tokenizers.path("word_bpe_49k.json"), end_id=1, file_bytes=300)
+    again = token_files.read_tokens(spark, rolled).orderBy("start").collect()
+    assert again == got and len(token_files.FileSystem.from_uri(rolled)[0].get_file_info(token_files.pa.fs.FileSelector(token_files.FileSystem.from_uri(rolled)[1]))) > 10
+    assert [x.tobytes() for x in token_files.read_document(rolled, 7)] == [x.tobytes() for x in token_files.read_document(folder, 7)]
     empty = scratch(spark, "test")
     token_files.write_tokens(table(spark, texts).limit(0), empty, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     assert token_files.read_tokens(spark, empty).count() == 0
 
 
+def test_long_words_and_texts_have_the_librarys_ids(spark):
+    texts = ["x" * 1_000_001, words(rng(14), 2000) * 100, "é" * 300_000]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        assert list(Encoder(public_tokenizers.path(name)).encode(texts)) == [np.array(encode(name, t), "<u4").tobytes() for t in texts]
+
+
+def test_a_small_sample_has_a_dictionary(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    few = token_files.train_dictionary(table(spark, ["one two", "one three"] * 3), path, 1, 2)
+    many = token_files.train_dictionary(table(spark, [words(rng(i), 300) for i in range(100)]), path, 1, 2)
+    assert 0 < len(few) < 100 and 1000 < len(many) <= token_files.DICTIONARY
+    assert token_files.train_dictionary(table(spark, []), path, 1, 2) == b""
+
+
 def lines_to_remove(docs):
     rows = []
     for d, t in docs:
@@ -185,6 +204,48 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == row[-1]
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_many_distances_at_a_time(monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    r = rng(12)
+    pairs = []
+    for n in (0, 1, 5, 60, 64, 65, 130, 300):
+        for _ in range(40):
+            a = "".join(r.choice(list("abcdé 日"), n))
+            b = list(a)
+            for _ in range(int(r.integers(0, max(2, n // 3)))):
+                k = int(r.integers(0, len(b) + 1))
+                b[k : k + int(r.integers(0, 2))] = str(r.choice(["", "x", "b", "zz"]))
+            pairs.append((a, "".join(b)) if r.random() < 0.5 else ("".join(b), a))
+    far = np.array([line_dedup.edit_distance(a, b) for a, b in pairs])
+    for shift in (-1, 0, 1):
+        assert (line_dedup.near_enough(pairs, far + shift) == (shift >= 0)).all()
+    counts = line_dedup._counts([x for p in pairs for x in p])
+    u = np.arange(0, 2 * len(pairs), 2)
+    assert not line_dedup._far(counts, u, u + 1, far).any() and line_dedup._far(counts, u, np.roll(u, 40), far).any()
+    assert line_dedup.near_enough([], np.zeros(0, int)).shape == (0,)
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_sets_of_keys_are_the_same_whatever_the_batches(size):
+    import pyarrow as pa
+
+    r = rng(13)
+    rows = sorted((int(k), int(v)) for k, v in zip(r.integers(-20, 20, 400), r.integers(-9, 9, 400), strict=True))
+    rows += [(99, v) for v in range(30)]
+    parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+    got = collections.defaultdict(set)
+    for b in line_dedup._sets(12)(pa.RecordBatch.from_arrays([pa.array([x[i] for x in p], pa.int64()) for i in (0, 1)], ["key", "node"]) for p in parts):
+        for kind, _, key, node in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            got[kind, key].add(node)
+    want = collections.defaultdict(set)
+    for k, v in rows:
+        want[k].add(v)
+    assert {frozenset(v) for (kind, _), v in got.items() if kind == 0} == {frozenset(v) for v in want.values() if 1 < len(v) <= 12}
+    assert {k: v for (kind, k), v in got.items() if kind == 1} == {k: v for k, v in want.items() if len(v) > 12}
+    assert len([1 for kind, _ in got if kind == 0]) == len({frozenset(v) for v in want.values() if 1 < len(v) <= 12})
+
+
 def spans(texts, length, keep):
     seen = collections.defaultdict(list)
     for i, t in enumerate(texts):
@@ -298,9 +359,35 @@ def test_mix_reshares_what_is_above_the_cap(spark):
 def test_kept_bytes_have_their_digest(spark):
     from tidelens.llm import queries
 
-    got = queries.op8_suffix_repeats(spark, "/root/testdata/sf0.001").collect()
-    assert all(len(x["kept_sha256"]) == 64 for x in got)
-    assert any(x["n_removed"] == x["n_bytes"] and x["kept_sha256"] == hashlib.sha256(b"").hexdigest() for x in got) or got
+    got = {x["doc_id"]: x for x in queries.op8_suffix_repeats(spark, "/root/testdata/sf0.001").collect()}
+    raw = {x["doc_id"]: (x["text"] or "").encode() for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert got.keys() == raw.keys()
+    for (i, t), found in zip(raw.items(), spans(list(raw.values()), 400, "none"), strict=True):
+        kept = b"".join(t[a:b] for a, b in zip([0, *[s[1] for s in found]], [*[s[0] for s in found], len(t)], strict=True))
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(t), len(t) - len(kept), len(found), hashlib.sha256(kept).hexdigest())
+    assert any(x["n_removed"] for x in got.values())
+
+
+def test_strings_that_trick_a_power_of_two_are_no_copies(spark):
+    bits = np.array([i.bit_count() & 1 for i in range(4096)], np.uint8)
+    one, other = (97 + bits).tobytes().decode(), (98 - bits).tobytes().decode()
+    roll = suffix_dedup.Rolling(np.frombuffer((one + other).encode(), np.uint8))
+    for n in (512, 1024, 2048, 4096):
+        assert roll(np.array([0]), np.array([n])) != roll(np.array([4096]), np.array([4096 + n]))
+    texts = [one[:1024] + "x", other[:1024] + "y", one[:1024] + "z"]
+    got = suffix_dedup.repeats(table(spark, texts), 1024).orderBy("doc_id").collect()
+    assert [len(x["kept"]) for x in got] == [1, 1025, 1]
+
+
+def test_a_passage_of_400_bytes_goes_and_a_shorter_one_stays(spark):
+    texts = [words(rng(20 + i), 100) for i in range(6)]
+    long, short = words(rng(30), 200)[:400], words(rng(31), 200)[:399]
+    texts = [t + ("#" + long + "#" if i < 3 else "%" + short + "%") + texts[5 - i] for i, t in enumerate(texts)]
+    got = suffix_dedup.repeats(table(spark, [*texts, None, ""])).orderBy("doc_id").collect()
+    for i, t in enumerate(texts):
+        gone = b"".join(t.encode()[s["a"] : s["b"]] for s in got[i]["spans"] or [])
+        assert (long.encode() in gone) == (i < 3) and (short.encode() in gone) is False or i >= 3
+    assert suffix_dedup.repeats(table(spark, [])).count() == 0 and [x["n_bytes"] for x in got[6:]] == [0, 0]
 
 
 def test_lines_are_linked_by_edit_similarity_alone(spark):
@@ -330,6 +417,7 @@ def test_lines_are_linked_by_edit_similarity_alone(spark):
 def test_large_keys_lose_no_pair(spark, monkeypatch):
     texts = ["one long line of words that many share " + words(rng(i), 1) for i in range(60)]
     monkeypatch.setattr(line_dedup, "GROUP", 4)
+    monkeypatch.setattr(line_dedup, "SET", 3)
     assert len({x["of"] for x in line_dedup.removed_lines(table(spark, texts), distance=None).collect()}) == 59
 
 
