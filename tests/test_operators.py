@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelens.functions.expressions import disturbed, grade, nearest_rank
-from tidelens.operators import detect, episodes, evaluate, intervals, ledger, policy, retrieval, rollup, rules, windows
+from tidelens.operators import detect, episodes, evaluate, intervals, ledger, policy, retrieval, rollup, rules, store, windows
 from tidelens.sources import readings as src
 
 READING = "channel string, seq bigint, arrival bigint, event_ts_ms bigint, value double"
@@ -121,7 +121,7 @@ def test_upsert_grows_extremes_and_keeps_the_first_onset(spark):
     shape = "channel string, t_start_ms bigint, raised_by string, t_end_ms bigint, peak_score double, window_count bigint, mean_score double, status string, attributed_to string, onset_ms bigint"
     old = spark.createDataFrame([("a", 0, "z", 10, 9.0, 1, 9.0, "real", "x", 3)], shape)
     new = spark.createDataFrame([("a", 0, "z", 30, 8.0, 3, 8.5, "attributed", None, 7)], shape)
-    x = rollup.upsert_episodes(old, new).first()
+    x = store.upsert_episodes(old, new).first()
     assert (x["t_end_ms"], x["peak_score"], x["window_count"], x["mean_score"], x["status"], x["attributed_to"], x["onset_ms"]) == (30, 9.0, 3, 8.5, "attributed", "x", 3)
 
 
@@ -201,12 +201,12 @@ def test_rules(spark):
     got = {(x["channel"], x["action"]): (x["approved"], x["reason"]) for x in rules.gate(p).collect()}
     assert got[("u.b", "silence_channel")] == (True, "within_limits") and got[("u.b", "raise_ticket")] == (True, "within_limits")
     assert got[("u.c", "raise_ticket")] == (False, "episode_not_actionable") and got[("u.a", "describe_channel")] == (True, "read_only")
-    assert ("u.a", "escalate") not in got
-    assert [x["action"] for x in rules.plan(d.where("channel = 'u.a'"), []).collect()] == ["escalate"]
+    assert ("u.a", "escalate_to_human") not in got
+    assert [x["action"] for x in rules.plan(d.where("channel = 'u.a'"), []).collect()] == ["escalate_to_human"]
 
 
 def test_budgets_count_what_was_approved(spark):
-    rows = [("c", 0, i, a, "real", m) for i, (a, m) in enumerate([("annotate_episode", None), ("silence_channel", 90), ("raise_ticket", None), ("annotate_episode", None), ("escalate", None), ("describe_channel", None)])]
+    rows = [("c", 0, i, a, "real", m) for i, (a, m) in enumerate([("annotate_episode", None), ("silence_channel", 90), ("raise_ticket", None), ("annotate_episode", None), ("escalate_to_human", None), ("describe_channel", None)])]
     a = spark.createDataFrame(rows, "channel string, t_start_ms bigint, step int, action string, status string, minutes int")
     assert [x["reason"] for x in rules.gate(a).orderBy("step").collect()] == ["within_limits", "limit_exceeded", "within_limits", "budget_exhausted", "escalation_always_allowed", "read_only"]
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelens.functions.expressions import floor_to
+from tidelens.operators import forecast
 from tidelens.operators.windows import DECAY, Sliding, summaries
 
 #: Readings before a channel is scored, and the least sigma of a reference.
@@ -63,14 +66,15 @@ def onsets(readings: DataFrame, scores: DataFrame, windows: Sliding) -> DataFram
     return scores.join(found, ["channel", "start_ms"]).withColumn("onset_ms", F.coalesce("first", "farthest")).drop("first", "farthest")
 
 
-def residual_scores(buckets: DataFrame, context: int = 128, least: int = 48, horizon: int = 12, floor: float = 1e-6) -> DataFrame:
-    """Forecast residuals over ``channel, bucket, value`` (bucket means): the largest distance of a bucket from the forecast
-    median of the buckets before it, in units of (p90 - p10) / 2.563.
+#: Detectors by name: from readings and windows to ``channel, start_ms, end_ms, score`` and what else they tell.
+DETECTORS: dict[str, Callable[[DataFrame, Sliding], DataFrame]] = {
+    "zscore": zscores,
+    "residual": lambda readings, windows: forecast.residual_scores(readings, windows, max(1, windows.size // 48)),
+}
 
-    The forecaster is the quantiles of the last ``context`` buckets, an interface for a learned one.
-    """
-    order = Window.partitionBy("channel").orderBy("bucket").rowsBetween(-context, -1)
-    q = F.percentile_approx("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), 10_000).over(order)
-    s = buckets.withColumn("q", q).withColumn("seen", F.count("*").over(order)).where(F.col("seen") >= least)
-    sigma = F.greatest((F.col("q")[2] - F.col("q")[0]) / 2.563, F.lit(floor))
-    return s.select("channel", "bucket", "value", F.col("q")[1].alias("median"), (F.abs(F.col("value") - F.col("q")[1]) / sigma).alias("score"))
+
+def score_with(name: str, readings: DataFrame, windows: Sliding) -> DataFrame:
+    """The scores of a registered detector, with its name in ``detector``."""
+    if name not in DETECTORS:
+        raise ValueError(f"no detector {name}; there are {', '.join(sorted(DETECTORS))}")
+    return DETECTORS[name](readings, windows).withColumn("detector", F.lit(name))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +39,12 @@ def by_channel(labelled: DataFrame) -> DataFrame:
 
 
 def health(labelled: DataFrame, window_ms: int, grade_lag: bool = True) -> DataFrame:
-    """Health of each tumbling window of event time: counts, the largest lag (0 at least) and a severity."""
-    h = labelled.withColumn("window_start_ms", floor_to("event_ts_ms", window_ms)).groupBy("window_start_ms").agg(
+    """Health of each tumbling window of event time: counts, the largest lag (0 at least) and a severity.
+
+    Rows marked ``is_late``, if there is such a column, came after their window was sealed: the ledger counts them, no window does.
+    """
+    rows = labelled.where(~F.col("is_late")) if "is_late" in labelled.columns else labelled
+    h = rows.withColumn("window_start_ms", floor_to("event_ts_ms", window_ms)).groupBy("window_start_ms").agg(
         F.count_distinct("channel").alias("channels"), F.count("*").alias("readings"), F.sum("missing").alias("missing"),
         F.sum("duplicate").alias("duplicates"), F.sum("regression").alias("regressions"),
         F.greatest(F.lit(0), F.max(F.col("ingest_wall_ms") - F.col("event_ts_ms"))).cast("bigint").alias("max_lag_ms"),
@@ -62,21 +71,79 @@ def source_progress(readings: DataFrame) -> DataFrame:
     return own.withColumn("watermark_ms", F.min("high_ms").over(Window.partitionBy()))
 
 
+def sealed(labelled: DataFrame, window_ms: int, grace: int = 1) -> DataFrame:
+    """``labelled`` with ``is_late``: a reading's window was closed when it came, as every source (``source``) had passed its end by ``grace`` windows.
+
+    The watermark before a reading is the least of the sources' highest event times so far; it is null until each was heard.
+    """
+    sources = [r[0] for r in labelled.select("source").distinct().orderBy("source").collect()]  # as many as a topic has partitions
+    highs = {f"__h{i}": ("max", F.when(F.col("source") == s, F.col("event_ts_ms"))) for i, s in enumerate(sources)}
+    r = running(labelled.withColumn("__one", F.lit(0)), "arrival", highs, ("__one",))
+    marks = [F.col(n) for n in highs]
+    mark = F.when(F.array_contains(F.transform(F.array(*marks), lambda x: x.isNull()), True), None).otherwise(F.array_min(F.array(*marks)))
+    seal = floor_to(mark, window_ms) - grace * window_ms
+    return r.withColumn("is_late", F.coalesce(floor_to("event_ts_ms", window_ms) < seal, F.lit(False))).drop(*highs, "__one")
+
+
+def source_watermark(sources: DataFrame, idle_s: float = 30.0) -> DataFrame:
+    """The watermark of sources (``source, high_ms`` null if not heard yet, ``seen_s`` wall clock), the idle ones aside: null while one that
+    counts has said nothing; all count if all are idle."""
+    s = sources.withColumn("live", F.max("seen_s").over(Window.partitionBy()) - F.col("seen_s") <= idle_s)
+    t = s.where("live").agg(F.count("*").alias("sources"), F.count_if(F.col("high_ms").isNull()).alias("silent"), F.min("high_ms").alias("low"))
+    return t.select("sources", F.when(F.col("silent") == 0, F.col("low")).alias("watermark_ms"))
+
+
+def due(windows: DataFrame, watermark_ms: int | None, window_ms: int, grace: int = 1) -> DataFrame:
+    """The windows (``window_start_ms``) that close at a watermark: those below its own window by more than ``grace`` windows, in order."""
+    if watermark_ms is None:
+        return windows.where("false")
+    return windows.where(F.col("window_start_ms") < watermark_ms // window_ms * window_ms - grace * window_ms).orderBy("window_start_ms")
+
+
+class Cadence:
+    """A channel's gap watch: the median of its last intervals that were no gaps, held in order."""
+
+    def __init__(self, factor: int = 6, held: int = 32, least: int = 8, floor_ms: int = 1000):
+        self.factor, self.held, self.least, self.floor_ms = factor, held, least, floor_ms
+        self.last: deque[int] = deque()
+        self.ordered: list[int] = []
+
+    def median(self) -> float:
+        n = len(self.ordered)
+        return 0.0 if not n else float(self.ordered[n // 2]) if n % 2 else (self.ordered[n // 2 - 1] + self.ordered[n // 2]) / 2
+
+    def see(self, interval: int) -> tuple[float, int] | None:
+        """The cadence and the readings that may be missing if the interval is a gap."""
+        if len(self.last) >= self.least and interval > max(self.factor * self.median(), self.floor_ms):
+            m = self.median()
+            return m, max(0, round(interval / m) - 1) if m else 0
+        if len(self.last) == self.held:
+            self.ordered.pop(bisect_left(self.ordered, self.last.popleft()))
+        self.last.append(interval)
+        insort(self.ordered, interval)
+        return None
+
+
 def gaps(readings: DataFrame, factor: int = 6, held: int = 32, least: int = 8, floor_ms: int = 1000) -> DataFrame:
     """Ingest gaps: intervals over ``factor`` times the median of the last ``held`` intervals that were none.
 
-    What counts as a gap decides what the next median sees, so each channel is folded in order of event time.
+    What counts as a gap decides what the next median sees, so a channel's times are folded in order: sorted by Spark, streamed
+    through a task batch by batch, with ``held`` intervals in memory.
     """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, kept, out = sorted(pdf["event_ts_ms"]), [], []
-        for a, b in zip(t, t[1:], strict=False):
-            cadence = sorted(kept)[len(kept) // 2] if len(kept) % 2 else (sorted(kept)[len(kept) // 2 - 1] + sorted(kept)[len(kept) // 2]) / 2 if kept else 0
-            if len(kept) >= least and b - a > max(factor * cadence, floor_ms):
-                out.append((pdf["channel"].iloc[0], a, b, float(cadence), max(0, round((b - a) / cadence) - 1) if cadence else 0))
-            else:
-                kept = [*kept, b - a][-held:]
-        return pd.DataFrame(out, columns=["channel", "from_ms", "to_ms", "cadence_ms", "estimated_missing"])
-
-    return readings.select("channel", "event_ts_ms").groupBy("channel").applyInPandas(fold, "channel string, from_ms bigint, to_ms bigint, cadence_ms double, estimated_missing bigint")
+    names = ["channel", "from_ms", "to_ms", "cadence_ms", "estimated_missing"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channel, before, watch = None, 0, Cadence(factor, held, least, floor_ms)
+        for b in batches:
+            out = []
+            for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if c != channel:
+                    channel, watch = c, Cadence(factor, held, least, floor_ms)
+                elif gap := watch.see(t - before):
+                    out.append((c, before, t, *gap))
+                before = t
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names)
+
+    rows = readings.select("channel", "event_ts_ms").repartition("channel").sortWithinPartitions("channel", "event_ts_ms")
+    return rows.mapInArrow(fold, "channel string, from_ms bigint, to_ms bigint, cadence_ms double, estimated_missing bigint")

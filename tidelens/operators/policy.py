@@ -129,3 +129,10 @@ def release(episodes: DataFrame, evidence_ms: int, buffer_ms: int) -> DataFrame:
     began = F.coalesce("onset_ms", "t_start_ms")
     e = episodes.select("channel", "t_start_ms", began.alias("began_ms"), (began + buffer_ms <= evidence_ms).alias("released"))
     return e.orderBy("began_ms", "channel", "t_start_ms")
+
+
+def evidence_watermark(fleet: DataFrame, second: DataFrame) -> DataFrame:
+    """Event time up to which all that a verdict needs has come: the lesser of two watermarks (``watermark_ms``), null if either is."""
+    j = fleet.select(F.col("watermark_ms").alias("fleet_ms")).join(second.select(F.col("watermark_ms").alias("second_ms")))
+    both = F.col("fleet_ms").isNotNull() & F.col("second_ms").isNotNull()
+    return j.withColumn("watermark_ms", F.when(both, F.least("fleet_ms", "second_ms")))

@@ -82,15 +82,3 @@ def ledger_vs_store(ledger: DataFrame, store: DataFrame) -> DataFrame:
     j = ledger.select("channel", F.col("readings").alias("in_ledger")).join(store.select("channel", F.col("readings").alias("in_store")), "channel", "full_outer")
     j = j.select("channel", F.coalesce("in_ledger", F.lit(0)).alias("in_ledger"), F.coalesce("in_store", F.lit(0)).alias("in_store"))
     return j.withColumn("difference", F.col("in_ledger") - F.col("in_store"))
-
-
-def upsert_episodes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Episodes by (channel, start, detector): extremes grow, the newest mean and status win, the first onset stays."""
-    both = old.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)))
-    key = ["channel", "t_start_ms", "raised_by"]
-    return both.groupBy(*key).agg(
-        F.max("t_end_ms").alias("t_end_ms"), F.max("peak_score").alias("peak_score"), F.max("window_count").alias("window_count"),
-        F.max_by("mean_score", "__v").alias("mean_score"), F.max_by("status", "__v").alias("status"),
-        F.max_by("attributed_to", F.when(F.col("attributed_to").isNotNull(), F.col("__v"))).alias("attributed_to"),
-        F.min_by("onset_ms", F.when(F.col("onset_ms").isNotNull(), F.col("__v"))).alias("onset_ms"),
-    )

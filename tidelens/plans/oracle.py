@@ -92,6 +92,21 @@ EXAMPLES = "ex AS (SELECT doc_id AS ord, text AS prompt, lang AS symptom, source
 _WIRE = "arrival % 51 <> 0 AND arrival % 50 <> 0"
 MINUTES = f"{M3}, id AS (SELECT channel, seq, event_ts_ms, sum(value) AS s, count(*) AS n, min(value) AS lo, max(value) AS hi FROM m3 GROUP BY ALL)"
 
+FINISHED = f"""{DECIDED}, {_SECOND}, {_SHOULDER}, rec AS ({_RECUR}),
+  y1 AS (SELECT dec.*, opinion, recurrences, shoulder, opinion = 'agrees' AND status = 'attributed' AS back, opinion = 'dissents' AND status = 'real' AS gone FROM dec JOIN op USING (channel, t_start_ms) JOIN rec USING (channel, t_start_ms) JOIN sh USING (channel, t_start_ms)),
+  y2 AS (SELECT channel, t_start_ms, window_count, recurrences, shoulder, CASE WHEN back THEN 'second_opinion_agrees' WHEN gone THEN 'second_opinion_dissents' ELSE verdict END AS verdict, CASE WHEN back THEN 'real' WHEN gone THEN 'attributed' ELSE status END AS status, CASE WHEN NOT back AND NOT gone THEN attributed_to END AS attributed_to FROM y1),
+  y3 AS (SELECT *, window_count < 2 AND recurrences = 0 AND shoulder = 0 AND status = 'real' AS flicker FROM y2),
+  done AS (SELECT channel, t_start_ms, CASE WHEN flicker THEN 'no_persistence' ELSE verdict END AS verdict, CASE WHEN flicker THEN 'attributed' ELSE status END AS status, CASE WHEN NOT flicker THEN attributed_to END AS attributed_to FROM y3)"""
+COVERED = "cov AS (SELECT f.channel, f.incident, f.f0, f.f1, arg_min(dep.event_id, dep.d) AS window_id, arg_min(dep.d % 2 = 0, dep.d) AS window_perturbed FROM fault f LEFT JOIN dep ON f.f0 <= dep.c1 AND dep.c0 <= f.f1 AND (dep.d % 5 = 0 OR EXISTS (SELECT 1 FROM scope sc WHERE sc.d = dep.d AND sc.channel = f.channel)) GROUP BY ALL)"
+PASSES = f"""{DECIDED}, {TRUTH}, {COVERED}, obs2 AS (SELECT 'shadow' AS label, channel, t_start_ms, t_end_ms, 'real' AS status FROM dec UNION ALL SELECT 'conditioned', channel, t_start_ms, t_end_ms, status FROM dec),
+  pg AS (SELECT x.label, {_CLASS} FROM obs2 x WHERE x.status = 'real'),
+  pn AS (SELECT l.label, (SELECT count(*) FROM obs2 WHERE obs2.label = l.label) AS episodes, count(pg.label) AS paged, count(*) FILTER (WHERE on_artifact) AS artifact_pages, count(*) FILTER (WHERE NOT on_artifact AND NOT on_fault) AS unexplained_pages FROM (VALUES ('shadow'), ('conditioned')) l(label) LEFT JOIN pg ON pg.label = l.label GROUP BY l.label),
+  fd AS (SELECT l.label, cov.*, EXISTS (SELECT 1 FROM obs2 o WHERE o.label = l.label AND o.status = 'real' AND o.channel = cov.channel AND o.t_start_ms <= f1 + 30000 AND f0 - 30000 <= o.t_end_ms) AS found FROM cov, (VALUES ('shadow'), ('conditioned')) l(label)),
+  inc AS (SELECT label, incident, bool_or(found) AS found, count(*) AS k, count(*) FILTER (WHERE found) AS kf, arg_min(window_id, f0::VARCHAR || channel) FILTER (WHERE window_id IS NOT NULL) AS wid, arg_min(window_perturbed, f0::VARCHAR || channel) FILTER (WHERE window_id IS NOT NULL) AS wp FROM fd GROUP BY ALL),
+  ir AS (SELECT label, count(*) AS faults_total, count(*) FILTER (WHERE found) AS faults_detected, count(wid) AS inside_total, count(wid) FILTER (WHERE found) AS inside_detected, count(*) FILTER (WHERE wid IS NULL) AS outside_total, count(*) FILTER (WHERE wid IS NULL AND found) AS outside_detected,
+    count(*) FILTER (WHERE NOT wp) AS quiet_total, count(*) FILTER (WHERE NOT wp AND found) AS quiet_detected, CAST(sum(k) AS BIGINT) AS channels_total, CAST(sum(kf) AS BIGINT) AS channels_detected FROM inc GROUP BY label),
+  scores AS (SELECT *, artifact_pages + unexplained_pages AS false_pages, faults_detected / faults_total AS recall, CASE WHEN inside_total > 0 THEN inside_detected / inside_total ELSE 0 END AS recall_inside FROM pn JOIN ir USING (label))"""
+
 SQL: dict[str, str] = {
     "decode_readings": f"SELECT event_id AS arrival, event_type AS channel, event_id AS seq, event_id * 1000 AS event_ts_ms, user_id + 0.5::DOUBLE AS value FROM events WHERE {_WIRE.replace('arrival', 'event_id')}",
     "malformed_split": f"SELECT {_WIRE.replace('arrival', 'event_id')} AS ok, count(*) AS n FROM events GROUP BY 1",
@@ -138,20 +153,23 @@ SQL: dict[str, str] = {
     "second_opinion": f"WITH {E2}, {_SECOND} SELECT channel, t_start_ms, opinion, round(best + 1e-9, 6) AS best FROM op",
     "persistence_shoulder": f"WITH {E2}, {_SHOULDER} SELECT * FROM sh",
     "context_verdicts": f"WITH {DECIDED} SELECT channel, t_start_ms, verdict, status, attributed_to FROM dec",
-    "final_verdicts": f"""WITH {DECIDED}, {_SECOND}, {_SHOULDER}, rec AS ({_RECUR}),
-      y1 AS (SELECT dec.*, opinion, recurrences, shoulder, opinion = 'agrees' AND status = 'attributed' AS back, opinion = 'dissents' AND status = 'real' AS gone FROM dec JOIN op USING (channel, t_start_ms) JOIN rec USING (channel, t_start_ms) JOIN sh USING (channel, t_start_ms)),
-      y2 AS (SELECT channel, t_start_ms, window_count, recurrences, shoulder, CASE WHEN back THEN 'second_opinion_agrees' WHEN gone THEN 'second_opinion_dissents' ELSE verdict END AS verdict, CASE WHEN back THEN 'real' WHEN gone THEN 'attributed' ELSE status END AS status, CASE WHEN NOT back AND NOT gone THEN attributed_to END AS attributed_to FROM y1),
-      y3 AS (SELECT *, window_count < 2 AND recurrences = 0 AND shoulder = 0 AND status = 'real' AS flicker FROM y2)
-      SELECT channel, t_start_ms, CASE WHEN flicker THEN 'no_persistence' ELSE verdict END AS verdict, CASE WHEN flicker THEN 'attributed' ELSE status END AS status, CASE WHEN NOT flicker THEN attributed_to END AS attributed_to FROM y3""",
+    "final_verdicts": f"WITH {FINISHED} SELECT channel, t_start_ms, verdict, status, attributed_to FROM done",
     "verdict_histogram": f"WITH {DECIDED}, {TRUTH}, x AS (SELECT verdict, {_CLASS} FROM dec x) SELECT verdict, count(*) FILTER (WHERE on_fault) AS fault, count(*) FILTER (WHERE on_artifact AND NOT on_fault) AS artifact, count(*) FILTER (WHERE NOT on_artifact AND NOT on_fault) AS unexplained FROM x GROUP BY verdict",
     "fleet_watermark": f"WITH {M2}, x AS (SELECT channel, max(event_ts_ms) - {H} AS mark FROM m2 GROUP BY channel) SELECT min(mark) AS watermark_ms, count(*) AS channels FROM x WHERE mark >= (SELECT max(mark) FROM x) - {6 * H}",
     "barrier_release": f"WITH {E2} SELECT channel, t_start_ms, onset_ms AS began_ms, onset_ms + 30000 <= {FIRST + 15 * DAY} AS released FROM e",
     "nearest_point": f"WITH {E1}, x AS (SELECT e.channel, t_start_ms + 12345 AS at_ms, m1.event_ts_ms, value, row_number() OVER (PARTITION BY e.channel, t_start_ms ORDER BY abs(m1.event_ts_ms - t_start_ms - 12345), m1.event_ts_ms, m1.arrival) AS i FROM e JOIN m1 ON m1.channel = e.channel) SELECT channel, at_ms, event_ts_ms, value FROM x WHERE i = 1",
-    "paired_scores": f"""WITH {DECIDED}, {TRUTH}, x AS (SELECT status, {_CLASS} FROM dec x),
-      n AS (SELECT count(*) AS shadow_pages, count(*) FILTER (WHERE on_artifact OR NOT on_fault) AS shadow_false, count(*) FILTER (WHERE status = 'real') AS conditioned_pages, count(*) FILTER (WHERE status = 'real' AND (on_artifact OR NOT on_fault)) AS conditioned_false FROM x),
-      f2 AS (SELECT incident, max(CASE WHEN dec.channel IS NOT NULL THEN 1 ELSE 0 END) AS a, max(CASE WHEN status = 'real' THEN 1 ELSE 0 END) AS b FROM fault LEFT JOIN dec ON dec.channel = fault.channel AND dec.t_start_ms <= f1 + 30000 AND f0 - 30000 <= dec.t_end_ms GROUP BY incident),
-      r2 AS (SELECT avg(a) AS ra, avg(b) AS rb FROM f2)
-      SELECT shadow_pages, shadow_false, conditioned_pages, conditioned_false, round(ra + 1e-9, 6) AS shadow_recall, round(rb + 1e-9, 6) AS conditioned_recall, round(CASE WHEN shadow_false > 0 THEN 1 - conditioned_false / shadow_false ELSE 0 END + 1e-9, 6) AS false_reduction, round(CASE WHEN ra > 0 THEN 1 - rb / ra ELSE 0 END + 1e-9, 6) AS recall_loss FROM n, r2""",
+    "paired_scores": f"""WITH {PASSES} SELECT a.paged AS shadow_paged, a.false_pages AS shadow_false_pages, b.paged AS conditioned_paged, b.false_pages AS conditioned_false_pages,
+      round(a.recall + 1e-9, 6) AS shadow_recall, round(b.recall + 1e-9, 6) AS conditioned_recall, round(red + 1e-9, 6) AS false_reduction, round(a.recall - b.recall + 1e-9, 6) AS recall_loss, round(a.recall_inside - b.recall_inside + 1e-9, 6) AS recall_loss_inside,
+      red >= 0.4 AND a.recall - b.recall <= 0.05 AS meets_target FROM scores a, scores b, (SELECT CASE WHEN max(CASE WHEN label = 'shadow' THEN false_pages END) > 0 THEN (max(CASE WHEN label = 'shadow' THEN false_pages END) - max(CASE WHEN label <> 'shadow' THEN false_pages END)) / max(CASE WHEN label = 'shadow' THEN false_pages END) ELSE 0 END AS red FROM scores)
+      WHERE a.label = 'shadow' AND b.label = 'conditioned'""",
+    "paired_report": f"""WITH {PASSES} SELECT label, episodes, paged, episodes - paged AS attributed, artifact_pages, unexplained_pages, faults_total, faults_detected, inside_total, inside_detected, outside_total, outside_detected, quiet_total, quiet_detected, channels_total, channels_detected,
+      round(recall + 1e-9, 6) AS recall, round(recall_inside + 1e-9, 6) AS recall_inside, round(CASE WHEN outside_total > 0 THEN outside_detected / outside_total ELSE 0 END + 1e-9, 6) AS recall_outside, round(CASE WHEN quiet_total > 0 THEN quiet_detected / quiet_total ELSE 0 END + 1e-9, 6) AS recall_quiet,
+      round(CASE WHEN channels_total > 0 THEN channels_detected / channels_total ELSE 0 END + 1e-9, 6) AS recall_channels, round(CASE WHEN paged > 0 THEN (paged - false_pages) / paged ELSE 0 END + 1e-9, 6) AS precision FROM scores""",
+    "fault_windows": f"WITH {DEPLOYS}, {TRUTH}, {COVERED} SELECT channel, f0 AS t_start_ms, incident, window_id, window_perturbed FROM cov",
+    "verdict_breakdown": f"WITH {FINISHED}, {TRUTH}, x AS (SELECT verdict, {_CLASS} FROM (SELECT done.*, e.t_end_ms FROM done JOIN e USING (channel, t_start_ms)) x) SELECT verdict, count(*) FILTER (WHERE on_fault) AS fault, count(*) FILTER (WHERE on_artifact AND NOT on_fault) AS artifact, count(*) FILTER (WHERE NOT on_artifact AND NOT on_fault) AS unexplained FROM x GROUP BY verdict",
+    "fail_open_compare": f"""WITH {DECIDED}, n AS (SELECT count(*) AS k, count(*) FILTER (WHERE status <> 'real') AS s, count(attributed_to) AS a FROM dec)
+      SELECT p AS pass, k AS shadow_episodes, k AS fail_open_episodes, CASE p WHEN 'conditioned' THEN k - s ELSE k END AS identical, 0 AS missing, 0 AS extra, CASE p WHEN 'conditioned' THEN s ELSE 0 END AS suppressed, CASE p WHEN 'conditioned' THEN a ELSE 0 END AS attributed,
+      p <> 'conditioned' OR (s = 0 AND a = 0) AS held FROM n, (VALUES ('no_events'), ('unavailable'), ('conditioned')) v(p)""",
     "recall_by_domain": f"WITH {E2}, {DEPLOYS}, {TRUTH}, x AS (SELECT incident, max(CASE WHEN e.channel IS NOT NULL THEN 1 ELSE 0 END) AS found FROM fault LEFT JOIN e ON e.channel = fault.channel AND e.t_start_ms <= f1 + 30000 AND f0 - 30000 <= e.t_end_ms GROUP BY incident) SELECT 'node' AS domain, count(*) AS incidents, CAST(sum(found) AS BIGINT) AS found FROM x",
     "fail_open_check": f"WITH {E2} SELECT 'fail_open' AS verdict, 'real' AS status, count(*) AS episodes FROM e HAVING count(*) > 0",
     "pr_curve": f"WITH {CURVE} SELECT score, tp, fp, round(precision + 1e-9, 6) AS precision, round(recall + 1e-9, 6) AS recall FROM pc",
@@ -181,4 +199,8 @@ SQL: dict[str, str] = {
     "stream_ledger": f"WITH {CHANNELS} SELECT channel, readings, last_seq, CAST(missing AS BIGINT) AS missing, CAST(duplicates AS BIGINT) AS duplicates, CAST(regressions AS BIGINT) AS regressions FROM drift",
     "stream_dedup": f"WITH {M3}, x AS (SELECT DISTINCT channel, seq, event_ts_ms FROM m3) SELECT channel, count(*) AS readings, max(seq) AS seq_max FROM x GROUP BY channel",
     "stream_rollup": f"WITH {M3} SELECT channel, event_ts_ms // {DAY} * {DAY} AS start_ms, min(value) AS low, max(value) AS high FROM m3 GROUP BY 1, 2",
+    "stream_episodes": f"WITH {M3}, x AS (SELECT *, max(event_ts_ms) OVER (PARTITION BY channel ORDER BY arrival ROWS UNBOUNDED PRECEDING) - {H} AS mark FROM m3), kept AS (SELECT * FROM x WHERE event_ts_ms >= mark), {_scores('kept', 48 * H, 12 * H)}, {_episodes(1.5)} SELECT channel, t_start_ms, t_end_ms, window_count, round(peak_score + 1e-9, 6) AS peak_score, round(mean_score + 1e-9, 6) AS mean_score FROM e",
+    "stream_recovery": f"WITH {CHANNELS} SELECT channel, readings, last_seq, CAST(missing AS BIGINT) AS missing, CAST(duplicates AS BIGINT) AS duplicates, CAST(regressions AS BIGINT) AS regressions FROM drift",
+    "stream_health": f"WITH {HEALTH} SELECT window_start_ms, readings, missing, duplicates, regressions, max_lag_ms, channels FROM health",
+    "stream_barrier": f"WITH {E2}, mk AS (SELECT min(t) AS w FROM (SELECT channel, max(event_ts_ms) AS t FROM m2 GROUP BY channel)) SELECT channel, t_start_ms, onset_ms AS began_ms, CASE WHEN onset_ms + {DAY} <= w THEN 'watermark' ELSE 'flush' END AS \"on\" FROM e, mk",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelens.operators import detect, episodes, evaluate, intervals, ledger, policy, retrieval, rollup, rules, windows
 from tidelens.sources import readings as src
+from tidelens.streaming.storage import written
 
 H = src.HOUR
 #: Windows of two days every half day; thresholds and gaps for channels by type and by node.
@@ -300,10 +301,26 @@ def context(spark, sf):
     return src.deploys(spark).unionByName(events)
 
 
-def decided(spark, sf):
-    e = found(spark, sf, True)
+def episodes_once(spark, sf):
+    """The episodes by node, written once for queries that use them several times."""
+    return written(found(spark, sf, True), "episodes")
+
+
+def verdicts(spark, sf, e):
     t = src.topology(src.readings(spark, sf, True).select("channel").distinct())
-    return policy.decide(e, policy.event_verdicts(e, context(spark, sf), t, src.DAY, SYNC))
+    return policy.event_verdicts(e, context(spark, sf), t, src.DAY, SYNC)
+
+
+def decided(spark, sf, e=None):
+    e = e or episodes_once(spark, sf)
+    return written(policy.decide(e, verdicts(spark, sf, e)), "decided")
+
+
+def finished(spark, sf):
+    """Verdicts after the second opinion and persistence."""
+    e, scores = episodes_once(spark, sf), scored(spark, sf, True)
+    lasting = intervals.recurrences(e, 5 * src.DAY).join(policy.shoulders(e, scores, BY_NODE, 0.5), ["channel", "t_start_ms"])
+    return policy.finish(decided(spark, sf, e), policy.second_opinions(e, second_scores(spark, sf), 2.0), lasting)
 
 
 @query
@@ -313,10 +330,7 @@ def context_verdicts(spark, sf):
 
 @query
 def final_verdicts(spark, sf):
-    e = found(spark, sf, True)
-    lasting = intervals.recurrences(e, 5 * src.DAY).join(policy.shoulders(e, scored(spark, sf, True), BY_NODE, 0.5), ["channel", "t_start_ms"])
-    out = policy.finish(decided(spark, sf), policy.second_opinions(e, second_scores(spark, sf), 2.0), lasting)
-    return out.select("channel", "t_start_ms", "verdict", "status", "attributed_to")
+    return finished(spark, sf).select("channel", "t_start_ms", "verdict", "status", "attributed_to")
 
 
 @query
@@ -342,21 +356,60 @@ def nearest_point(spark, sf):
     return intervals.nearest(src.readings(spark, sf), marks.select("channel", "at_ms"))
 
 
+def plan_windows(spark):
+    """The deploys as the plan's context windows; those of even days disturbed something."""
+    return src.deploys(spark).withColumn("perturbed", F.col("ord") % 2 == 0)
+
+
+def passes(spark, sf):
+    """The scored passes without and with conditioning."""
+    d = decided(spark, sf)
+    shadow = d.withColumn("status", F.lit("real"))
+    return [written(evaluate.score_pass(x, src.faults(spark), src.artifacts(spark), plan_windows(spark)), "pass") for x in (shadow, d)]
+
+
 @query
 def paired_scores(spark, sf):
-    p = evaluate.paired(decided(spark, sf), src.faults(spark), src.artifacts(spark))
-    return p.select("shadow_pages", "shadow_false", "conditioned_pages", "conditioned_false", *r6("shadow_recall", "conditioned_recall", "false_reduction", "recall_loss"))
+    c = evaluate.compare(*passes(spark, sf))
+    return c.select("shadow_paged", "shadow_false_pages", "conditioned_paged", "conditioned_false_pages", *r6("shadow_recall", "conditioned_recall", "false_reduction", "recall_loss", "recall_loss_inside"), "meets_target")
+
+
+@query
+def paired_report(spark, sf):
+    a, b = passes(spark, sf)
+    rows = a.withColumn("label", F.lit("shadow")).unionByName(b.withColumn("label", F.lit("conditioned")))
+    counts = ["episodes", "paged", "attributed", "artifact_pages", "unexplained_pages", "faults_total", "faults_detected", "inside_total", "inside_detected", "outside_total", "outside_detected", "quiet_total", "quiet_detected", "channels_total", "channels_detected"]
+    return rows.select("label", *counts, *r6("recall", "recall_inside", "recall_outside", "recall_quiet", "recall_channels", "precision"))
+
+
+@query
+def fault_windows(spark, sf):
+    return evaluate.covering(src.faults(spark), plan_windows(spark)).select("channel", "t_start_ms", "incident", "window_id", "window_perturbed")
+
+
+@query
+def verdict_breakdown(spark, sf):
+    return evaluate.breakdown(finished(spark, sf), src.faults(spark), src.artifacts(spark))
+
+
+@query
+def fail_open_compare(spark, sf):
+    e = episodes_once(spark, sf)
+    shadow = e.withColumn("status", F.lit("real"))
+    silent = policy.decide(e, verdicts(spark, sf, e).where("false"))
+    rows = [evaluate.compare_passes(shadow, x).withColumn("pass", F.lit(n)) for n, x in (("no_events", silent), ("unavailable", policy.decide(e, verdicts(spark, sf, e), available=False)), ("conditioned", decided(spark, sf, e)))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query
 def recall_by_domain(spark, sf):
-    i = evaluate.incidents(src.faults(spark), found(spark, sf, True))
+    i = evaluate.incidents(src.faults(spark), episodes_once(spark, sf))
     return i.groupBy("domain").agg(F.count("*").alias("incidents"), F.sum("found").alias("found"))
 
 
 @query
 def fail_open_check(spark, sf):
-    e = found(spark, sf, True)
+    e = episodes_once(spark, sf)
     opened = policy.decide(e, policy.event_verdicts(e, context(spark, sf), src.topology(e.select("channel").distinct()), src.DAY, SYNC), available=False)
     return opened.groupBy("verdict", "status").agg(F.count("*").alias("episodes"))
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 
 def folder(spark: SparkSession, tag: str) -> str:
@@ -23,6 +25,13 @@ def folder(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what uses it several times computes it once, and a lost executor starts from there."""
+    path = folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def commit_batch(path: str):
     """A ``foreachBatch`` sink that can be repeated: each batch owns a folder, which a retry overwrites."""
     def write(batch: DataFrame, number: int) -> None:
@@ -31,9 +40,20 @@ def commit_batch(path: str):
     return write
 
 
+def declare(stream: DataFrame, path: str) -> None:
+    """Keep the schema of a sink beside its batches, so that it can be read before the first one."""
+    row = stream.sparkSession.createDataFrame([(stream.schema.json(),)], "schema string")
+    row.coalesce(1).write.mode("overwrite").text(f"{path}.schema")
+
+
+def _schema(spark: SparkSession, path: str) -> StructType:
+    schema = StructType.fromJson(json.loads(spark.read.text(f"{path}.schema").first()[0]))
+    return schema.add("batch", LongType())
+
+
 def committed(spark: SparkSession, path: str) -> DataFrame:
-    """All rows of a sink, with their ``batch``."""
-    return spark.read.parquet(path).withColumn("batch", F.col("batch").cast("bigint"))
+    """All rows of a sink, with their ``batch``; none for a sink that no batch was written to, which is told by its schema file."""
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def latest(spark: SparkSession, path: str, *key: str) -> DataFrame:
