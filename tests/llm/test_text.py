@@ -351,6 +351,17 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_a_mix_without_ids_comes_near_its_targets(spark):
+    r = rng(18)
+    texts = [words(r, int(r.integers(1, 60))) for _ in range(400)]
+    docs = table(spark, texts, [None] * 400)
+    got = mixing.mix(docs).collect()
+    by = collections.defaultdict(list)
+    for x in got:
+        by[x["source"]].append((x["mix"]["size"], x["mix"]["copies"] * x["mix"]["size"], x["mix"]["target"]))
+    assert len(got) == 400 and all(abs(sum(t for _, t, _ in v) - v[0][2]) <= max(s for s, _, _ in v) for v in by.values())
+
+
 def test_mix_reshares_what_is_above_the_cap(spark):
     docs = spark.createDataFrame([(1, "a " * 10, "a"), (2, "b " * 100, "b"), (3, "c " * 100, "c")], "doc_id bigint, text string, source string")
     assert {x["source"]: round(x["target"], 6) for x in mixing.source_targets(docs.selectExpr("source", "size(split(trim(text), ' ')) AS size")).collect()} == {"a": 30.0, "b": 120.0, "c": 60.0}

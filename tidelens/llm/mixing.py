@@ -13,9 +13,14 @@ from tidelens.llm._shared import WORD, materialise, need
 RANGES, LEVELS, BROADCAST_ROWS = 1024, 2, 100_000
 
 
-def _random_odds(seed: int, doc_id: Column) -> Column:
+def _name() -> Column:
+    """What a row's random number hangs on: its doc_id, or without one its text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")))))
+
+
+def _random_odds(seed: int, name: Column) -> Column:
     """U / (1 - U) with U in (0, 1), the same on every run: 48 bits of an MD5."""
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(2**48))
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 12), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(2**48))
     return u / (F.lit(1.0) - u)
 
 
@@ -45,17 +50,18 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed
 
     Size is the number of words. A source with target T and size S gives every document floor(T / S) whole
     copies for certain; what is left of T is a sample of fixed size in words. A document's inclusion odds are
-    f / (1 - f) * sqrt(size / mean size) with f = T / S - floor(T / S); documents are ranked by random odds over
-    inclusion odds (Pareto order sampling) and taken in that order up to the rank whose running total of words
-    comes nearest to what is left. Running totals come from counts in nested ranges of ranks, so no source is
+    o = f / (1 - f) * sqrt(size / mean size) with f = T / S - floor(T / S), that is a target inclusion probability of
+    o / (1 + o): f for a document of mean size, more for longer ones, never 1, so that few long documents do not
+    decide a source alone. Documents are ranked by random odds over inclusion odds (Pareto order sampling) and taken
+    in that order up to the rank whose running total of words comes nearest to what is left. Running totals come from counts in nested ranges of ranks, so no source is
     ever sorted as a whole.
 
     Needs ``doc_id``, ``text`` and ``source``. Null and empty texts have size 0 and take part with 0 words; a
-    null source is a source of its own; rows with one doc_id and size share a rank and stand or fall
-    together; an empty table gives an empty one.
+    null source is a source of its own; rows with one doc_id (or without any, and one text) and size share a rank and
+    stand or fall together; an empty table gives an empty one.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    d = materialise(need(docs, "doc_id", "text", "source").select("doc_id", "source", size.alias("size")), "sizes")
+    d = materialise(need(docs, "doc_id", "text", "source").select(_name().alias("name"), "source", size.alias("size")), "sizes")
     s = source_targets(d, weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     s = s.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -69,14 +75,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed
         o = F.broadcast(o) if small else o
         return rows.join(o, rows["source"].eqNullSafe(o["__mix_source"]), "left").drop("__mix_source")
 
-    def rank(doc_id: Column, size: Column) -> Column:
+    def rank(name: Column, size: Column) -> Column:
         """Random odds over inclusion odds; null where nothing is left to sample or the text has no words."""
-        at = _random_odds(seed, doc_id) / (F.col("__mix.odds") * F.sqrt(size / F.col("__mix.mean")))
+        at = _random_odds(seed, name) / (F.col("__mix.odds") * F.sqrt(size / F.col("__mix.mean")))
         return F.when((size > 0) & (F.col("__mix.left") > 0), at)
 
     # Nested ranges of rank / (1 + rank): words before the range and the range where the total is passed.
     place = F.col("rank") / (F.lit(1.0) + F.col("rank"))
-    r = with_source(d, s, ["odds", "mean", "left"]).withColumn("rank", rank(F.col("doc_id"), F.col("size"))).where("rank is not null")
+    r = with_source(d, s, ["odds", "mean", "left"]).withColumn("rank", rank(F.col("name"), F.col("size"))).where("rank is not null")
     r = r.select("source", "size", "rank", place.alias("place"))
     cut = s.withColumns({"lo": F.lit(0.0), "words": F.lit(0).cast("bigint")})
     ordered = Window.partitionBy("source").orderBy("range")
@@ -98,7 +104,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed
     cut = cut.select(F.col("source").alias("cut_source"), "lo").join(last, F.col("cut_source").eqNullSafe(F.col("source")), "left").select("cut_source", "lo", "cut")
     s = materialise(s.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source"), "cuts")
 
-    at = rank(F.col("doc_id"), F.col("__mix_size"))
+    at = rank(_name(), F.col("__mix_size"))
     sampled = (at / (F.lit(1.0) + at) < F.col("__mix.lo")) | (at <= F.col("__mix.cut"))
     copies = F.col("__mix.whole") + F.coalesce(sampled.cast("bigint"), F.lit(0).cast("bigint"))
     out = with_source(docs.withColumn("__mix_size", size), s, ["whole", "odds", "mean", "left", "lo", "cut", "source_size", "target"])

@@ -85,7 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 OP9_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 't' || md5(coalesce(text, ''))) AS name, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), a AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) FILTER (WHERE size > 0) AS docs FROM d GROUP BY source
 ), b AS (
@@ -106,7 +106,7 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN rest / source_size ELSE 0.0::DOUBLE END AS part FROM h
 ), j AS (
   SELECT d.doc_id, d.size, i.source, i.source_size, i.target, i.whole, i.rest,
-    (CAST(('0x' || substr(md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u,
+    (CAST(('0x' || substr(md5('7:' || d.name), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u,
     CASE WHEN i.part < 1 THEN i.part / (1.0::DOUBLE - i.part) END AS odds, CASE WHEN i.docs > 0 THEN CAST(i.source_size AS DOUBLE) / i.docs END AS mean
   FROM d JOIN i ON d.source IS NOT DISTINCT FROM i.source
 ), k AS (
