@@ -270,3 +270,26 @@ def test_serving_on_empty_and_plain_tables(spark):
 def test_rules_take_licences_from_a_column(spark):
     d = spark.createDataFrame([("a", 0, "level_shift", "real", ["raise_ticket"]), ("b", 0, "level_shift", "real", [])], "channel string, t_start_ms bigint, symptom string, status string, licences array<string>")
     assert sorted((x["channel"], x["action"]) for x in rules.plan(d, "licences").collect()) == [("a", "raise_ticket"), ("b", "escalate_to_human")]
+
+
+def test_a_stream_recovers_with_its_state_in_rocksdb(spark, tmp_path):
+    from tidelens.streaming import processors, queries
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    storage.durable(spark)
+    try:
+        out, check, path = (f"file://{tmp_path}/{x}" for x in ("out", "check", "in"))
+        for part in ([(1, 0), (2, 1)], [(4, 2), (4, 3), (3, 4)]):
+            spark.createDataFrame([("c", s, a, 0, 0.0) for s, a in part], READING).coalesce(1).write.mode("append").parquet(path)
+            queries.drain(processors.track_sequences(spark.readStream.schema(READING).parquet(path)), "update", out, check)
+        x = storage.latest(spark, out, "channel").first()
+        assert (x["readings"], x["missing"], x["duplicates"], x["regressions"]) == (5, 1, 1, 1)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_a_query_runs_by_name(spark, tmp_path, capsys):
+    from tidelens.__main__ import main
+
+    assert main(["topology_summary", "/root/testdata/sf0.001", "--out", f"file://{tmp_path}/out"]) == 0 and spark.read.parquet(f"file://{tmp_path}/out").count() > 0
+    assert main(["lake_identities", "/root/testdata/sf0.001"]) == 0 and "click" in capsys.readouterr().out

@@ -111,7 +111,7 @@ def joint_context(spark, sf):
     out = []
     for up in (True, False):
         both = context.joint(context.Context(src.deploys(spark)), context.Context(pipeline, up))
-        t = src.topology(src.readings(spark, sf, True).select("channel").distinct())
+        t = src.topology(src.readings(spark, sf, True, False).select("channel").distinct())
         d = policy.decide(e, policy.event_verdicts(e, both.events, t, src.DAY, base.SYNC), both.available)
         out.append(d.groupBy("verdict").agg(F.count("*").alias("episodes")).withColumn("available", F.lit(both.available)))
     return out[0].unionByName(out[1])
@@ -143,7 +143,7 @@ def jsonl_examples(spark, sf):
 def plan_text(spark: SparkSession) -> DataFrame:
     """The fixed faults, deploys and artifacts as one plan; every third fault lacks its incident and domain."""
     one = F.struct(F.lit("level_shift").alias("kind"), F.lit("fault").alias("origin"), "t_start_ms", "t_end_ms", F.when(F.col("n") % 3 != 0, F.col("incident")).alias("incident"), F.when(F.col("n") % 3 != 0, F.col("domain")).alias("domain"))
-    f = src.faults(spark).withColumn("n", F.expr("cast(substring(incident, 7) AS int)")).groupBy("channel").agg(F.array_sort(F.collect_list(one)).alias("es"))
+    f = src.truth(spark).withColumn("n", F.expr("cast(substring(incident, 7) AS int)")).groupBy("channel").agg(F.array_sort(F.collect_list(one)).alias("es"))
     f = f.agg(F.map_from_entries(F.collect_list(F.struct("channel", "es"))).alias("faults"))
     a = src.artifacts(spark).groupBy("event_id", "channel").agg(F.array_sort(F.collect_list(F.struct(F.lit("spike").alias("kind"), F.lit("deploy").alias("origin"), "t_start_ms", "t_end_ms"))).alias("es"))
     a = a.groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", "es"))).alias("artifacts"))
@@ -167,7 +167,7 @@ def plan_truth(spark, sf):
 @query(f"""WITH {oracle.DEPLOYS}, {oracle.TRUTH}, u AS (SELECT channel, f0, f1, 'fault' AS origin FROM fault UNION ALL SELECT channel, f0, f1, 'deploy' FROM artifact)
   SELECT channel, f0 AS t_start_ms, origin, row_number() OVER (PARTITION BY channel ORDER BY f0, origin) - 1 AS ord FROM u""")
 def truth_union(spark, sf):
-    both = src.faults(spark).select("channel", "t_start_ms", F.lit("fault").alias("origin")).unionByName(src.artifacts(spark).select("channel", "t_start_ms", F.lit("deploy").alias("origin")))
+    both = src.truth(spark).select("channel", "t_start_ms", F.lit("fault").alias("origin")).unionByName(src.artifacts(spark).select("channel", "t_start_ms", F.lit("deploy").alias("origin")))
     from pyspark.sql import Window
 
     return both.withColumn("ord", (F.row_number().over(Window.partitionBy("channel").orderBy("t_start_ms", "origin")) - 1).cast("bigint"))
@@ -175,7 +175,7 @@ def truth_union(spark, sf):
 
 @query(f"WITH {oracle.M2}, {oracle.TOPOLOGY} SELECT channel, node, rack, ring FROM topo")
 def topology_inventory(spark, sf):
-    t = src.topology(src.readings(spark, sf, True).select("channel").distinct())
+    t = src.topology(src.readings(spark, sf, True, False).select("channel").distinct())
     j = t.agg(F.to_json(F.struct(F.collect_list(F.struct("channel", "node", "rack", "ring")).alias("placements"))).alias("inventory"))
     return documents.read_inventory(j)
 

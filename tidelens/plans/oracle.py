@@ -137,6 +137,9 @@ SQL: dict[str, str] = {
     "lake_identities": f"WITH {M3}, x AS (SELECT DISTINCT channel, seq, event_ts_ms FROM m3) SELECT channel, count(*) AS readings, count(DISTINCT seq) AS distinct_seq, min(seq) AS seq_min, max(seq) AS seq_max, max(seq) - min(seq) + 1 - count(DISTINCT seq) AS drift, count(*) - count(DISTINCT seq) AS reused_seq FROM x GROUP BY channel",
     "ledger_vs_lake": f"WITH {M3}, x AS (SELECT DISTINCT channel, seq, event_ts_ms FROM m3 WHERE channel <> 'view'), b AS (SELECT channel, count(*) AS n FROM x GROUP BY channel), c AS (SELECT channel, count(*) AS n FROM m3 GROUP BY channel) SELECT channel, c.n AS in_ledger, coalesce(b.n, 0) AS in_store, c.n - coalesce(b.n, 0) AS difference FROM c FULL JOIN b USING (channel)",
     "rollup_minute": f"WITH {MINUTES} SELECT channel, event_ts_ms // {H} * {H} AS minute_ms, count(*) AS readings, min(lo) AS value_min, max(hi) AS value_max, min(seq) AS seq_min, max(seq) AS seq_max, round(sum(s) / sum(n) + 1e-9, 4) AS mean FROM id GROUP BY 1, 2",
+    "rollup_merge": f"WITH {M3}, id AS (SELECT channel, seq, event_ts_ms, any_value(value) AS value FROM m3 GROUP BY ALL) SELECT channel, event_ts_ms // {H} * {H} AS minute_ms, count(*) AS readings, min(value) AS value_min, max(value) AS value_max, min(seq) AS seq_min, max(seq) AS seq_max, round(avg(value) + 1e-9, 4) AS mean FROM id GROUP BY 1, 2",
+    "encoded_readings": f"WITH {M1} SELECT true AS ok, channel, coalesce(injected, '') AS injected, count(*) AS readings, CAST(sum(seq) AS BIGINT) AS seqs, max(event_ts_ms) AS last_ms FROM m1 GROUP BY ALL",
+    "batched_scores": f"WITH {M1}, {_windows('m1', 48 * H, 12 * H, 8)} SELECT channel, start_ms, round(mean * 2 + 1e-9, 6) AS score FROM w",
     "channel_summary": f"WITH {MINUTES} SELECT channel, count(*) AS readings, round(sum(s) / sum(n) + 1e-9, 4) AS mean, min(lo) AS low, max(hi) AS high, min(seq) AS seq_min, max(seq) AS seq_max, count(DISTINCT event_ts_ms // 60000) AS minutes, max(seq) - min(seq) + 1 - count(*) AS gap FROM id GROUP BY channel",
     "channel_series": f"WITH {M1} SELECT event_ts_ms // 60000 * 60000 AS minute_ms, count(*) AS readings, round(avg(value) + 1e-9, 4) AS mean FROM m1 WHERE channel = 'click' GROUP BY 1 ORDER BY 1 DESC LIMIT 60",
     "recent_points": f"WITH {M1}, x AS (SELECT channel, event_ts_ms // 1000 * 1000 AS second_ms, round(avg(value) + 1e-9, 6) AS value, count(*) AS n FROM m1 WHERE event_ts_ms >= (SELECT max(event_ts_ms) FROM m1) - 3600000 GROUP BY 1, 2), c AS (SELECT channel FROM x GROUP BY channel ORDER BY count(*) DESC, channel LIMIT 3) SELECT * FROM x WHERE channel IN (SELECT channel FROM c)",
@@ -202,5 +205,6 @@ SQL: dict[str, str] = {
     "stream_episodes": f"WITH {M3}, x AS (SELECT *, max(event_ts_ms) OVER (PARTITION BY channel ORDER BY arrival ROWS UNBOUNDED PRECEDING) - {H} AS mark FROM m3), kept AS (SELECT * FROM x WHERE event_ts_ms >= mark), {_scores('kept', 48 * H, 12 * H)}, {_episodes(1.5)} SELECT channel, t_start_ms, t_end_ms, window_count, round(peak_score + 1e-9, 6) AS peak_score, round(mean_score + 1e-9, 6) AS mean_score FROM e",
     "stream_recovery": f"WITH {CHANNELS} SELECT channel, readings, last_seq, CAST(missing AS BIGINT) AS missing, CAST(duplicates AS BIGINT) AS duplicates, CAST(regressions AS BIGINT) AS regressions FROM drift",
     "stream_health": f"WITH {HEALTH} SELECT window_start_ms, readings, missing, duplicates, regressions, max_lag_ms, channels FROM health",
+    "buffered_sink": f"WITH {M3}, pt AS (SELECT CAST(floor(arrival * 3 / (SELECT max(arrival) + 1 FROM m3)) AS INTEGER) AS part, count(*) AS n FROM m3 GROUP BY 1), z AS (SELECT coalesce(max(n) FILTER (WHERE part = 0), 0) AS a, coalesce(max(n) FILTER (WHERE part = 1), 0) AS b, coalesce(max(n) FILTER (WHERE part = 2), 0) AS c FROM pt), y AS (SELECT *, CASE WHEN a >= 5000 THEN 1 ELSE 0 END AS f1, CASE WHEN a >= 5000 THEN 0 ELSE a END AS w1 FROM z), x AS (SELECT *, CASE WHEN w1 + b >= 5000 THEN 1 ELSE 0 END AS f2, CASE WHEN w1 + b >= 5000 THEN 0 ELSE w1 + b END AS w2 FROM y) SELECT a + b + c AS rows, f1 + f2 + CASE WHEN w2 + c > 0 THEN 1 ELSE 0 END AS writes FROM x",
     "stream_barrier": f"WITH {E2}, mk AS (SELECT min(t) AS w FROM (SELECT channel, max(event_ts_ms) AS t FROM m2 GROUP BY channel)) SELECT channel, t_start_ms, onset_ms AS began_ms, CASE WHEN onset_ms + {DAY} <= w THEN 'watermark' ELSE 'flush' END AS \"on\" FROM e, mk",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.operators import detect, episodes, evaluate, intervals, ledger, policy, retrieval, rollup, rules, windows
+from tidelens.operators import detect, episodes, evaluate, forecast, intervals, ledger, policy, retrieval, rollup, rules, windows
 from tidelens.sources import readings as src
 from tidelens.streaming.storage import written
 
@@ -30,14 +30,14 @@ def r6(*names: str):
 
 
 def scored(spark: SparkSession, sf: str, by_node: bool = False) -> DataFrame:
-    return detect.zscores(src.readings(spark, sf, by_node), SPAN)
+    return detect.zscores(src.readings(spark, sf, by_node, False), SPAN)
 
 
 def found(spark: SparkSession, sf: str, by_node: bool = False) -> DataFrame:
     """Episodes with the onset of their first window."""
     threshold = BY_NODE if by_node else BY_TYPE
     flagged = scored(spark, sf, by_node).where(F.col("score") >= threshold)
-    return episodes.merge(detect.onsets(src.readings(spark, sf, by_node), flagged, SPAN), threshold, GAP)
+    return episodes.merge(detect.onsets(src.readings(spark, sf, by_node, False), flagged, SPAN), threshold, GAP)
 
 
 @query
@@ -45,6 +45,23 @@ def decode_readings(spark, sf):
     return src.decode(src.wire_lines(spark, sf)).where("ok").select("arrival", "channel", "seq", "event_ts_ms", "value")
 
 
+@query
+def encoded_readings(spark, sf):
+    r = src.decode(src.encode(src.readings(spark, sf)))
+    return r.groupBy("ok", "channel", F.coalesce("injected", F.lit("")).alias("injected")).agg(F.count("*").alias("readings"), F.sum("seq").alias("seqs"), F.max("event_ts_ms").alias("last_ms"))
+
+
+@query
+def batched_scores(spark, sf):
+    """Windows scored away from the path, at most 32 at a time, by a model that tells how many it saw."""
+    def model(f):
+        return f.assign(score=f["mean"] * 2, seen=len(f))[["channel", "start_ms", "score", "seen"]]
+
+    w = windows.summaries(src.readings(spark, sf, False, False), SPAN).select("channel", "start_ms", "mean")
+    s = forecast.scored_in_batches(w, model, "channel string, start_ms bigint, score double, seen int")
+    return s.where("seen <= 32").select("channel", "start_ms", *r6("score"))
+
+
 @query
 def malformed_split(spark, sf):
     return src.decode(src.wire_lines(spark, sf)).groupBy("ok").agg(F.count("*").alias("n"))
@@ -59,12 +76,12 @@ def payload_fanout(spark, sf):
 
 @query
 def sliding_windows(spark, sf):
-    return windows.summaries(src.readings(spark, sf), SPAN).select("channel", "start_ms", "end_ms", "n", *r6("mean", "var"))
+    return windows.summaries(src.readings(spark, sf, False, False), SPAN).select("channel", "start_ms", "end_ms", "n", *r6("mean", "var"))
 
 
 @query
 def tumbling_windows(spark, sf):
-    return windows.summaries(src.readings(spark, sf), windows.Sliding(24 * H, 24 * H, 1)).select("channel", "start_ms", "end_ms", "n", *r6("mean"))
+    return windows.summaries(src.readings(spark, sf, False, False), windows.Sliding(24 * H, 24 * H, 1)).select("channel", "start_ms", "end_ms", "n", *r6("mean"))
 
 
 @query
@@ -80,7 +97,7 @@ def zscore_scores(spark, sf):
 
 @query
 def score_onset(spark, sf):
-    return detect.onsets(src.readings(spark, sf), scored(spark, sf), SPAN).select("channel", "start_ms", "onset_ms")
+    return detect.onsets(src.readings(spark, sf, False, False), scored(spark, sf), SPAN).select("channel", "start_ms", "onset_ms")
 
 
 @query
@@ -179,7 +196,7 @@ def source_watermark(spark, sf):
 
 @query
 def gap_watch(spark, sf):
-    return ledger.gaps(src.readings(spark, sf, True))
+    return ledger.gaps(src.readings(spark, sf, True, False))
 
 
 @query
@@ -210,6 +227,15 @@ def rollup_minute(spark, sf):
     return m.select("channel", "minute_ms", "readings", "value_min", "value_max", "seq_min", "seq_max", F.round(F.col("value_sum") / F.col("value_count") + 1e-9, 4).alias("mean"))
 
 
+@query
+def rollup_merge(spark, sf):
+    """Partial rows of two batches, apart by the parity of the numbers, put together."""
+    r = rollup.latest(src.faulty_readings(spark, sf), rollup.KEY, "arrival")
+    parts = [rollup.per_minute(r.where(F.col("seq") % 2 == i), H) for i in (0, 1)]
+    m = rollup.merge_minutes(parts[0].unionByName(parts[1]))
+    return m.select("channel", "minute_ms", "readings", "value_min", "value_max", "seq_min", "seq_max", F.round(F.col("value_sum") / F.col("value_count") + 1e-9, 4).alias("mean"))
+
+
 @query
 def channel_summary(spark, sf):
     return rollup.channel_summary(rollup.per_minute(src.faulty_readings(spark, sf))).withColumn("mean", F.round(F.col("mean") + 1e-9, 4))
@@ -223,7 +249,7 @@ def channel_series(spark, sf):
 
 @query
 def recent_points(spark, sf):
-    return rollup.recent_points(src.readings(spark, sf), 3600, 3).withColumn("value", F.round(F.col("value") + 1e-9, 6))
+    return rollup.recent_points(src.readings(spark, sf, False, False), 3600, 3).withColumn("value", F.round(F.col("value") + 1e-9, 6))
 
 
 @query
@@ -267,23 +293,23 @@ def recurrences(spark, sf):
 
 @query
 def topology_derive(spark, sf):
-    return src.topology(src.readings(spark, sf, True).select("channel").distinct())
+    return src.topology(src.readings(spark, sf, True, False).select("channel").distinct())
 
 
 @query
 def topology_summary(spark, sf):
-    t = src.topology(src.readings(spark, sf, True).select("channel").distinct())
+    t = src.topology(src.readings(spark, sf, True, False).select("channel").distinct())
     return t.groupBy("rack").agg(F.count("*").alias("channels"), F.count_distinct("node").alias("nodes"), F.array_join(F.array_sort(F.collect_set("node")), ",").alias("names"))
 
 
 @query
 def footprint(spark, sf):
-    t = src.topology(src.readings(spark, sf, True).select("channel").distinct())
+    t = src.topology(src.readings(spark, sf, True, False).select("channel").distinct())
     return policy.footprint(src.deploys(spark).where("size(scope) > 0"), "scope", t, ["event_id"], "declared")
 
 
 def second_scores(spark, sf):
-    return detect.zscores(src.readings(spark, sf, True), windows.Sliding(72 * H, 24 * H, 8))
+    return detect.zscores(src.readings(spark, sf, True, False), windows.Sliding(72 * H, 24 * H, 8))
 
 
 @query
@@ -307,7 +333,7 @@ def episodes_once(spark, sf):
 
 
 def verdicts(spark, sf, e):
-    t = src.topology(src.readings(spark, sf, True).select("channel").distinct())
+    t = src.topology(src.readings(spark, sf, True, False).select("channel").distinct())
     return policy.event_verdicts(e, context(spark, sf), t, src.DAY, SYNC)
 
 
@@ -336,13 +362,13 @@ def final_verdicts(spark, sf):
 @query
 def verdict_histogram(spark, sf):
     d = decided(spark, sf)
-    c = evaluate.classified(d, src.faults(spark), src.artifacts(spark))
+    c = evaluate.classified(d, src.truth(spark), src.artifacts(spark))
     return c.groupBy("verdict").pivot("class", ["fault", "artifact", "unexplained"]).count().na.fill(0)
 
 
 @query
 def fleet_watermark(spark, sf):
-    return windows.fleet_watermark(src.readings(spark, sf, True), H, 6 * H)
+    return windows.fleet_watermark(src.readings(spark, sf, True, False), H, 6 * H)
 
 
 @query
@@ -353,7 +379,7 @@ def barrier_release(spark, sf):
 @query
 def nearest_point(spark, sf):
     marks = found(spark, sf).select("channel", F.coalesce("onset_ms", "t_start_ms").alias("onset_ms"), (F.col("t_start_ms") + 12_345).alias("at_ms"))
-    return intervals.nearest(src.readings(spark, sf), marks.select("channel", "at_ms"))
+    return intervals.nearest(src.readings(spark, sf, False, False), marks.select("channel", "at_ms"))
 
 
 def plan_windows(spark):
@@ -365,7 +391,7 @@ def passes(spark, sf):
     """The scored passes without and with conditioning."""
     d = decided(spark, sf)
     shadow = d.withColumn("status", F.lit("real"))
-    return [written(evaluate.score_pass(x, src.faults(spark), src.artifacts(spark), plan_windows(spark)), "pass") for x in (shadow, d)]
+    return [written(evaluate.score_pass(x, src.truth(spark), src.artifacts(spark), plan_windows(spark)), "pass") for x in (shadow, d)]
 
 
 @query
@@ -384,12 +410,12 @@ def paired_report(spark, sf):
 
 @query
 def fault_windows(spark, sf):
-    return evaluate.covering(src.faults(spark), plan_windows(spark)).select("channel", "t_start_ms", "incident", "window_id", "window_perturbed")
+    return evaluate.covering(src.truth(spark), plan_windows(spark)).select("channel", "t_start_ms", "incident", "window_id", "window_perturbed")
 
 
 @query
 def verdict_breakdown(spark, sf):
-    return evaluate.breakdown(finished(spark, sf), src.faults(spark), src.artifacts(spark))
+    return evaluate.breakdown(finished(spark, sf), src.truth(spark), src.artifacts(spark))
 
 
 @query
@@ -403,7 +429,7 @@ def fail_open_compare(spark, sf):
 
 @query
 def recall_by_domain(spark, sf):
-    i = evaluate.incidents(src.faults(spark), episodes_once(spark, sf))
+    i = evaluate.incidents(src.truth(spark), episodes_once(spark, sf))
     return i.groupBy("domain").agg(F.count("*").alias("incidents"), F.sum("found").alias("found"))
 
 

@@ -188,7 +188,7 @@ def chart_spans(spark, sf):
 
 @query(f"WITH {M1}, d AS (SELECT channel, event_ts_ms // {DAY} * {DAY} AS day_ms, avg(value) AS value FROM m1 GROUP BY 1, 2), r AS (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi FROM d WINDOW w AS (PARTITION BY channel)) SELECT channel, day_ms, round(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0.5 END + 1e-9, 6) AS scaled FROM r")
 def scaled_points(spark, sf):
-    return serving.scaled(forecast.buckets(src.readings(spark, sf), src.DAY)).select("channel", F.col("bucket_ms").alias("day_ms"), *base.r6("scaled"))
+    return serving.scaled(forecast.buckets(src.readings(spark, sf, False, False), src.DAY)).select("channel", F.col("bucket_ms").alias("day_ms"), *base.r6("scaled"))
 
 
 @query(f"WITH {M2}, r AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY event_ts_ms DESC, arrival DESC) AS back FROM m2) SELECT channel, seq, back FROM r WHERE back <= 20")
@@ -251,7 +251,7 @@ def due_windows(spark, sf):
   x AS (SELECT *, unnest(range(((bucket_ms - {48 * H}) // {12 * H} + 1) * {12 * H}, bucket_ms + 1, {12 * H})) AS start_ms FROM c), f AS (SELECT channel, start_ms, arg_min(q1, bucket_ms) AS q1, arg_min(q5, bucket_ms) AS q5, arg_min(q9, bucket_ms) AS q9, arg_min(seen, bucket_ms) AS context FROM x GROUP BY 1, 2 HAVING arg_min(seen, bucket_ms) >= 48)
   SELECT channel, start_ms, start_ms + {48 * H} AS end_ms, CAST(count(*) AS INTEGER) AS horizon, context, round(max(abs(value - f.q5) / greatest((f.q9 - f.q1) / 2.563::DOUBLE, 1e-6)) + 1e-9, 6) AS score, round(avg(abs(value - f.q5) / greatest((f.q9 - f.q1) / 2.563::DOUBLE, 1e-6)) + 1e-9, 6) AS mean_residual FROM x JOIN f USING (channel, start_ms) GROUP BY channel, start_ms, context""")
 def residual_windows(spark, sf):
-    s = forecast.residual_scores(src.readings(spark, sf), base.SPAN, src.HOUR)
+    s = forecast.residual_scores(src.readings(spark, sf, False, False), base.SPAN, src.HOUR)
     return s.select("channel", "start_ms", "end_ms", "horizon", "context", *base.r6("score", "mean_residual"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelens.functions.expressions import epoch_ms
 from tidelens.operators.chunks import CHUNK, running
+from tidelens.sources import faults
 
 DAY, HOUR = 86_400_000, 3_600_000
 FIRST_DAY = 1_704_067_200_000  # 2024-01-01
@@ -23,8 +24,11 @@ def assign_sequence(rows: DataFrame, key: str = "channel", order: str = "arrival
     return running(rows, order, {"seq": ("sum", F.lit(1).cast("bigint"))}, (key,), chunk, current=True)
 
 
-def readings(spark: SparkSession, sf_dir: str, by_node: bool = False) -> DataFrame:
-    """Events as readings, a channel per event type, or per node and event type: ``channel, seq, arrival, event_ts_ms, value, source, injected``."""
+def readings(spark: SparkSession, sf_dir: str, by_node: bool = False, numbered: bool = True) -> DataFrame:
+    """Events as readings, a channel per event type, or per node and event type: ``channel, seq, arrival, event_ts_ms, value, source, injected``.
+
+    What needs no ``seq`` asks for rows that are not ``numbered`` and spares the pass that counts them.
+    """
     channel = F.concat(F.lit("pump-"), F.lpad((F.col("user_id") % 12).cast("string"), 2, "0"), F.lit("."), F.col("event_type")) if by_node else F.col("event_type")
     rows = events(spark, sf_dir).select(
         channel.alias("channel"),
@@ -34,16 +38,17 @@ def readings(spark: SparkSession, sf_dir: str, by_node: bool = False) -> DataFra
         F.concat(F.lit("p"), (F.col("event_id") % 6).cast("string")).alias("source"),
         F.expr(INJECTED).alias("injected"),
     )
+    if not numbered:
+        return rows
     return assign_sequence(rows).select("channel", "seq", "arrival", "event_ts_ms", "value", "source", "injected")
 
 
 def faulty_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings with losses, repeats and delays put in after numbering, and the wall clock of their ingestion."""
-    r = readings(spark, sf_dir).withColumn("id", F.col("arrival")).where("id % 101 != 50")
-    r = r.withColumn("ingest_wall_ms", F.expr("event_ts_ms + (id % 7) * 10000"))
-    once = r.withColumn("arrival", F.expr("CASE WHEN id % 37 = 11 THEN id * 10 + 405 ELSE id * 10 END"))
-    again = r.where("id % 53 = 7").withColumn("arrival", F.expr("id * 10 + 5"))
-    return once.unionByName(again).drop("id")
+    r = faults.drop(readings(spark, sf_dir).withColumn("id", F.col("arrival")), F.col("id") % 101 == 50)
+    r = r.withColumn("ingest_wall_ms", F.expr("event_ts_ms + (id % 7) * 10000")).withColumn("arrival", F.col("id") * 10)
+    again = r.where("id % 53 = 7").withColumn("arrival", F.col("arrival") + 5)
+    return faults.delay(r, F.col("id") % 37 == 11, 405).unionByName(again).drop("id")
 
 
 def decode(wire: DataFrame, column: str = "wire") -> DataFrame:
@@ -115,7 +120,7 @@ def deploys(spark: SparkSession) -> DataFrame:
     )
 
 
-def faults(spark: SparkSession) -> DataFrame:
+def truth(spark: SparkSession) -> DataFrame:
     """Ground truth: each day a fault on all channels of one node from 8 to 10 o'clock."""
     kinds = ",".join(f"'{k}'" for k in KINDS)
     return spark.range(DAYS).select(

@@ -113,3 +113,13 @@ def stream_barrier(spark, sf):
     sink = sinks.Barrier(spark, storage.folder(spark, "barrier"), buffer_ms=24 * H, idle_ms=0)
     run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), "append", sink, storage.folder(spark, "checkpoint"))
     return sink.finish().select("channel", "t_start_ms", "began_ms", "on")
+
+
+@query
+def buffered_sink(spark, sf):
+    out, stream = storage.folder(spark, "sink"), feed(spark, sf)
+    storage.declare(stream, out)
+    sink = sinks.Buffered(spark, storage.folder(spark, "buffer"), storage.commit_batch(out), 5000, 1e9)
+    run(stream, "append", sink, storage.folder(spark, "checkpoint"))
+    sink.finish()
+    return storage.committed(spark, out).agg(F.count("*").alias("rows"), F.count_distinct("batch").alias("writes"))

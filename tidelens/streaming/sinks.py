@@ -6,6 +6,8 @@ A batch reads what the batch before left and writes its own folder, so a batch t
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,3 +101,29 @@ class Barrier(_Kept):
     def finish(self) -> DataFrame:
         rest = self.spark.read.schema(HELD).parquet(f"{self.path}/held/batch={self.last}")
         return self.rows("released", HELD).drop("batch").withColumn("on", F.lit("watermark")).unionByName(rest.withColumn("on", F.lit("flush")))
+
+
+class Buffered(_Kept):
+    """Batches put together until there are ``rows`` of them or ``seconds`` have gone by, then written by ``sink`` in one go. What waits is on
+    disk before its batch counts as done, so nothing is lost between; a failing write raises and the batch runs again."""
+
+    def __init__(self, spark: SparkSession, path: str, sink: Callable[[DataFrame, int], None], rows: int = 5000, seconds: float = 5.0):
+        super().__init__(spark, path)
+        self.sink, self.most, self.seconds = sink, rows, seconds
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        note, now = self.note(number), time.time()
+        self.write(number, "pending", batch)
+        waiting, rows, since = [*note.get("waiting", []), number], note.get("rows", 0) + self._pending([number], batch.schema).count(), note.get("since", now)
+        self.schema = batch.schema
+        if rows >= self.most or now - since >= self.seconds:
+            self.sink(self._pending(waiting, batch.schema), number)
+            waiting, rows, since = [], 0, now
+        self.write_note(number, {"waiting": waiting, "rows": rows, "since": since})
+
+    def _pending(self, numbers: list[int], schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/pending/batch={n}" for n in numbers])
+
+    def finish(self) -> None:
+        if waiting := self.note(self.last + 1)["waiting"]:
+            self.sink(self._pending(waiting, self.schema), self.last + 1)

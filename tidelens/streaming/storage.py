@@ -32,6 +32,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def durable(spark: SparkSession) -> None:
+    """Keep streams' state in RocksDB and write only its changes to checkpoints: for state that outgrows a heap. To be called before a stream starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def commit_batch(path: str):
     """A ``foreachBatch`` sink that can be repeated: each batch owns a folder, which a retry overwrites."""
     def write(batch: DataFrame, number: int) -> None:
