@@ -89,6 +89,28 @@ def test_packing_covers_every_id_once_with_little_padding(spark):
     assert packing.pack(table(spark, texts).limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_documents_without_or_with_one_id_are_packed_apart(spark):
+    texts = ["a b c", "a b c", "d", None, "e " * 3000]
+    docs = table(spark, texts, [None, 1, 1, None, 2]).selectExpr("*", "7 AS sequence_id", "'x' AS ids")
+    got = packing.pack(docs.coalesce(1), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    sizes = collections.Counter((i, len(encode("byte_bpe_50k.json", t)) + 1) for i, t in zip([None, 1, 1, None, 2], texts, strict=True))
+    tokens = collections.Counter()
+    for x in got:
+        tokens[x["doc_id"], x["doc_tokens"]] += x["length"]
+    assert tokens == {k: k[1] * n for k, n in sizes.items()} and len({(x["sequence_id"], x["offset"]) for x in got}) == len(got)
+
+
+def test_a_worker_forgets_other_work(monkeypatch):
+    from tidelens.llm import _shared
+
+    gone = []
+    monkeypatch.setattr(_shared, "_remembered", {"a": lambda: gone.append("a"), "b": lambda: gone.append("b")})
+    monkeypatch.setattr(_shared, "_last", [""])
+    for work in ("a", "a", "b", "c", "c"):
+        _shared.begin(work)
+    assert gone == ["b", "a", "a", "b"]
+
+
 def test_the_level_minimises_the_sum_of_squares():
     p, r = packing.Packer(64), rng(2)
     for i in range(400):
