@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelens.functions.expressions import floor_to
 from tidelens.operators import intervals, rollup
+from tidelens.operators.chunks import previous
 
 #: Fixed value: milliseconds that the 99th percentile of the hot path may take.
 HOT_PATH_MS = 250
@@ -98,9 +100,10 @@ def chart_spans(episodes: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
 
 def scaled(points: DataFrame) -> DataFrame:
     """Values from 0 to 1 between each channel's least and largest; 0.5 where they are equal."""
-    w = Window.partitionBy("channel")
-    low, high = F.min("value").over(w), F.max("value").over(w)
-    return points.withColumn("scaled", F.when(high > low, (F.col("value") - low) / (high - low)).otherwise(0.5))
+    ends = points.groupBy(F.col("channel").alias("__of")).agg(F.min("value").alias("__low"), F.max("value").alias("__high"))
+    p = points.join(ends, F.col("channel").eqNullSafe(F.col("__of")))
+    share = (F.col("value") - F.col("__low")) / (F.col("__high") - F.col("__low"))
+    return p.withColumn("scaled", F.when(F.col("__high") > F.col("__low"), share).otherwise(0.5)).drop("__of", "__low", "__high")
 
 
 def tails(readings: DataFrame, n: int = 600) -> DataFrame:
@@ -110,17 +113,21 @@ def tails(readings: DataFrame, n: int = 600) -> DataFrame:
 
 
 def history(readings: DataFrame, span_ms: int = 300_000) -> DataFrame:
-    """Each reading with the number and the mean of its channel's readings over the ``span_ms`` up to it."""
-    w = Window.partitionBy("channel").orderBy("event_ts_ms").rangeBetween(-span_ms, 0)
-    return readings.withColumn("recent", F.count("*").over(w)).withColumn("recent_mean", F.avg("value").over(w))
+    """Each reading with the number and the mean of its channel's readings over the ``span_ms`` up to it. A reading is dealt to its span of
+    time and, as what came before, to the next one, so a channel is not one task."""
+    own = floor_to("event_ts_ms", span_ms)
+    r = readings.withColumn("__b", F.explode(F.array(own, own + span_ms)))
+    w = Window.partitionBy("channel", "__b").orderBy("event_ts_ms").rangeBetween(-span_ms, 0)
+    r = r.withColumn("recent", F.count("*").over(w)).withColumn("recent_mean", F.avg("value").over(w))
+    return r.where(F.col("__b") == own).drop("__b")
 
 
 def increases(counters: DataFrame, span_ms: int, step_ms: int) -> DataFrame:
-    """``channel, at_ms, increase, per_s``: what a counter (``channel, event_ts_ms, value``) went up by over the ``span_ms`` before each
+    """``channel, at_ms, increase, per_s``: what a counter (``channel, event_ts_ms, value``, one sample a time) went up by over the ``span_ms`` before each
     step. A value below the one before it is a restart from zero. A channel without a sample in the span has no row."""
-    before = F.lag("value").over(Window.partitionBy("channel").orderBy("event_ts_ms"))
-    up = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
-    c = counters.withColumn("up", up).withColumn("pane", F.col("event_ts_ms") - F.pmod("event_ts_ms", F.lit(step_ms).cast("bigint")))
+    c = previous(counters, "event_ts_ms", "value", "before", ("channel",), span_ms)
+    up = F.when(F.col("before").isNull(), 0.0).when(F.col("value") < F.col("before"), F.col("value")).otherwise(F.col("value") - F.col("before"))
+    c = c.withColumn("up", up).withColumn("pane", F.col("event_ts_ms") - F.pmod("event_ts_ms", F.lit(step_ms).cast("bigint")))
     c = c.groupBy("channel", "pane").agg(F.sum("up").alias("up"))
     ends = F.sequence(F.col("pane") + step_ms, F.col("pane") + span_ms, F.lit(step_ms).cast("bigint"))
     return c.withColumn("at_ms", F.explode(ends)).groupBy("channel", "at_ms").agg(F.sum("up").alias("increase"), (F.sum("up") * 1000 / span_ms).alias("per_s"))
