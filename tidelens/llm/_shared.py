@@ -3,13 +3,41 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What this worker process remembers between tasks, by kind of work, and the kind of its last task.
+_remembered: dict[str, Callable[[], None]] = {}
+_last = [""]
+
+
+def remembers(work: str, forget: Callable[[], None]) -> None:
+    """A kind of work that keeps something in the worker between its tasks, and how to let go of it."""
+    _remembered[work] = forget
+
+
+def begin(work: str) -> None:
+    """A task of this kind of work starts here. Workers outlive stages: what other work remembered goes, and freed memory goes back."""
+    if _last[0] == work:
+        return
+    _last[0] = work
+    for other, forget in _remembered.items():
+        if other != work:
+            forget()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps its own counsel
+        pass
+
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -14,6 +14,8 @@ import numpy as np
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
+from tidelens.llm._shared import remembers
+
 #: Pieces remembered in each of two generations, the longest piece worth remembering, characters of text and words encoded at a time.
 REMEMBERED, LONGEST, TEXT, WORDS = 700_000, 64, 2_000_000, 200
 #: Characters whose class and lower case no library disagrees about.
@@ -159,3 +161,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder a worker process and file, with the library's default for special tokens; its pieces stay between tasks."""
     return Encoder(path, plain=False)
+
+
+remembers("tokens", encoder.cache_clear)

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm._shared import need
+from tidelens.llm._shared import begin, need
 from tidelens.llm._tokens import encoder
 
 WINDOW = 1024
@@ -85,6 +85,7 @@ def _packed(tokenizer: str, end_id: int, window: int, with_ids: bool) -> Callabl
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("tokens")
         encode, packer = encoder(tokenizer).encode, Packer(window, TaskContext.get().partitionId() << 40)
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:

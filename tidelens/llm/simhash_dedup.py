@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidelens.llm._graph import components
-from tidelens.llm._shared import materialise, need
+from tidelens.llm._shared import begin, materialise, need
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 #: Hashes unpacked at a time, fingerprints of one group compared in one task and as a
@@ -35,6 +35,7 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text, a batch's second column, becomes ``bits``."""
+    begin("fingerprints")
     for b in batches:
         text = b.column(1).cast(pa.binary()) if pa.types.is_string(b.column(1).type) else b.column(1).cast(pa.large_binary())
         bits = np.fromiter((fingerprint(x.as_py()) for x in text), np.uint64, len(text))
@@ -94,6 +95,7 @@ def linked(most: int) -> Callable:
                 sub = (sub ^ (sub >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 yield batch(1, sub.view(np.int64), np.full(len(bits), mask & ~block, np.uint64), bits)
 
+        begin("variants")
         held, split = 0, False
         for b in batches:
             key, mask, bits = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy().view(np.uint64)

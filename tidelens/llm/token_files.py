@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelens.llm._shared import as_uri, materialise, need
+from tidelens.llm._shared import as_uri, begin, materialise, need
 from tidelens.llm._tokens import encoder
 
 MAGIC, VERSION, NO_ID = b"TLTOKENS", 1, -(2**63)
@@ -72,6 +72,7 @@ def _decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
 
 def _encoded(tokenizer: str, end_id: int, width: int, dictionary: bytes) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("tokens")
         encode, compress, end = encoder(tokenizer).encode, _compressor(dictionary).compress, _id(end_id)
         for b in batches:
             counts, frames = [], []

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm._shared import materialise, need
+from tidelens.llm._shared import begin, materialise, need
 
 #: Labelled rows a model is fitted on at most (those with the smallest hashes), and the buckets that hashed terms fall in.
 ROWS, BUCKETS = 30_000, 1 << 18
@@ -23,7 +23,7 @@ STEMS = (4, 5, 7)
 #: Training; POSITIVE is the weight of a toxic text, as texts that are not are many times as many.
 FACTORS, EPOCHS, BATCH, RATE, DECAY, POSITIVE = 8, 20, 256, 0.3, 5e-5, 3.0
 #: Rows of the pair test multiplied at a time, words remembered in a worker.
-BLOCK, REMEMBERED = 2048, 400_000
+BLOCK, REMEMBERED = 2048, 200_000
 #: ASCII to lower case for letters, itself for digits, white space for the rest; bytes of other characters stay.
 PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -33,9 +33,9 @@ def words(text: str | None) -> set[bytes]:
     return set((text or "").lower().encode().translate(PLAIN).split())
 
 
-def buckets(word: bytes) -> list[int]:
+def buckets(word: bytes) -> tuple[int, ...]:
     """The buckets of a word and of its first STEMS bytes with a hyphen, so that inflected words share some."""
-    return [crc32(x) % BUCKETS for x in (word, *[word[:n] + b"-" for n in STEMS if len(word) > n])]
+    return tuple([crc32(x) % BUCKETS for x in (word, *[word[:n] + b"-" for n in STEMS if len(word) > n])])
 
 
 class _Remembered(dict):
@@ -166,6 +166,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, m: int, seed: int = 3) -> tu
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin("toxicity")
     of = _Remembered(buckets).__getitem__
     for b in batches:
         rows = [terms(x.as_py(), of).astype("<u4").tobytes() for x in b.column(2)]
@@ -241,8 +242,9 @@ def _only(rows: list[np.ndarray], some: np.ndarray) -> list[np.ndarray]:
 
 def _scored(machine: Machine, text: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         place = {int(b): i for i, b in enumerate(machine.known)}
-        of = _Remembered(lambda word: [place[b] for b in buckets(word) if b in place]).__getitem__
+        of = _Remembered(lambda word: tuple([place[b] for b in buckets(word) if b in place])).__getitem__
         for b in batches:
             rows = [terms(x.as_py(), of) for x in b.column(text)]
             yield b.append_column("__toxicity", pa.array(machine.scores(rows), pa.float64()))
