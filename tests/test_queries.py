@@ -3,6 +3,7 @@
 import datetime
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -28,7 +29,7 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-@pytest.mark.parametrize("name", [n for n in sorted(entry.oracle_sql()) if not n.startswith(("op", "pipeline"))])
+@pytest.mark.parametrize("name", [n for n in sorted(entry.oracle_sql()) if n != "pipeline" and not re.match(r"op\d+_", n)])
 def test_query_equals_its_sql(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     columns = sorted(df.columns)
