@@ -190,6 +190,12 @@ def ranks(values: DataFrame, column: str, bars: list[int]) -> DataFrame:
     )
 
 
+def rescued(episodes: DataFrame, lasting: DataFrame) -> DataFrame:
+    """Of the episodes of one window how many come again nearby (``recurrences``) and how many have high windows before them (``shoulder``)."""
+    j = episodes.where("window_count = 1").join(lasting, ["channel", "t_start_ms"])
+    return j.agg(F.count("*").alias("single"), F.count_if(F.col("recurrences") > 0).alias("recurring"), F.count_if(F.col("shoulder") > 0).alias("shouldered"))
+
+
 def evidence(counts: DataFrame, *columns: str) -> DataFrame:
     """Of counts of corroborating channels a decision: the mean, and how many decisions had any."""
     return counts.agg(F.count("*").alias("n"), *[x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), F.count_if(F.col(c) > 0).alias(f"{c}_any"))])

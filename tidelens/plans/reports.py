@@ -44,6 +44,13 @@ def persistence_sensitivity(spark, sf):
     return evaluate.ranks(base.found(spark, sf, True), "window_count", [1, 2, 3, 4, 6])
 
 
+@query(f"WITH {E2}, {oracle._SHOULDER}, rec AS ({oracle._RECUR}) SELECT count(*) AS single, count(*) FILTER (WHERE recurrences > 0) AS recurring, count(*) FILTER (WHERE shoulder > 0) AS shouldered FROM e JOIN rec USING (channel, t_start_ms) JOIN sh USING (channel, t_start_ms) WHERE window_count = 1")
+def persistence_rescue(spark, sf):
+    e = base.episodes_once(spark, sf)
+    lasting = intervals.recurrences(e, 5 * src.DAY).join(policy.shoulders(e, base.scored(spark, sf, True), base.BY_NODE, 0.5), ["channel", "t_start_ms"])
+    return evaluate.rescued(e, lasting)
+
+
 @query(f"""WITH {E2}, sib AS ({oracle._NEAR.format(within=6 * H)}), a1 AS (SELECT e.channel, e.t_start_ms, count(sibling) AS n FROM e LEFT JOIN sib USING (channel, t_start_ms) GROUP BY ALL),
   b1 AS (SELECT x.channel, x.t_start_ms, count(DISTINCT y.channel) FILTER (WHERE y.channel <> x.channel) AS n FROM e x LEFT JOIN e y ON y.onset_ms BETWEEN x.t_start_ms AND x.t_end_ms GROUP BY ALL)
   SELECT count(*) AS n, round(avg(a1.n) + 1e-9, 6) AS synchronous_mean, count(*) FILTER (WHERE a1.n > 0) AS synchronous_any, round(avg(b1.n) + 1e-9, 6) AS in_span_mean, count(*) FILTER (WHERE b1.n > 0) AS in_span_any FROM a1 JOIN b1 USING (channel, t_start_ms)""")
