@@ -34,7 +34,9 @@ def usable(rows):
 
 
 @pytest.mark.parametrize("block,cell", [(2048, 4096), (16, 20)])
-def test_cover_tree_finds_all_links(spark, monkeypatch, block, cell):
+@pytest.mark.parametrize("sent", [1 << 17, 0])
+def test_cover_tree_finds_all_links(spark, monkeypatch, block, cell, sent):
+    monkeypatch.setattr(cover_tree, "BROADCAST_NODES", sent)
     monkeypatch.setattr(cover_tree, "BLOCK", block)
     monkeypatch.setattr(cover_tree, "CELL", cell)
     monkeypatch.setattr(cover_tree, "LEAF", 4)

@@ -17,6 +17,8 @@ from tidelens.llm._vectors import matrix, pack_doubles, valid
 #: Vectors sampled for the cells' centres, vectors a cell should hold, vectors of a block, of a leaf, centres tried a node, points of a child
 #: at least, rounding allowance of a distance.
 SAMPLE, CELL, BLOCK, LEAF, CHILDREN, FEWEST, SLACK = 4096, 4096, 2048, 64, 64, 4, 1e-7
+#: Cells with their radii that are sent to every task; with more, each vector is joined to those of its label.
+BROADCAST_NODES = 1 << 17
 
 
 class CoverTree:
@@ -193,40 +195,63 @@ def _assigned(centres: np.ndarray) -> Callable:
     return run
 
 
-def _sent(centres: np.ndarray, within: float) -> Callable:
+def _sent(centres: np.ndarray, within: float, radii: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] | None) -> Callable:
     """For each vector the other cells, of higher number, that may hold a vector within the distance.
 
     A cell's points lie within its covering radius of its centre (point against node), and a point whose nearest
-    centre is c lies in a cell d only if no nearer to d's centre (hyperplane between centres).
+    centre is c lies in a cell d only if no nearer to d's centre (hyperplane between centres). ``radii`` has the cells of
+    each label and length with their radii; without it each row carries those of its own (column ``radii``).
     """
 
+    def fits(u: np.ndarray, cell: np.ndarray, to: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(u) if u.shape[1] == centres.shape[1] else 0, 1024):  # vectors of other lengths are one cell
+            x, c = u[at : at + 1024], cell[at : at + 1024]
+            d = np.sqrt(np.maximum(2 - 2 * (x @ centres[to].T), 0.0))
+            own = np.sqrt(np.maximum(2 - 2 * (centres[c] * x).sum(axis=1), 0.0))
+            i, j = np.nonzero((to[None, :] > c[:, None]) & (d <= most[None, :] + within + SLACK) & (d <= own[:, None] + 2 * within + SLACK))
+            rows.append(i + at)
+            cells.append(to[j])
+        return np.concatenate(rows), np.concatenate(cells)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             u, cell = _unit(matrix(b.column("embedding"))), b.column("cell").to_numpy()
-            radii = b.column("radii")
             rows, cells = [], []
-            for i in range(len(u)):
-                r = radii[i]
-                to = np.asarray(r.values.field(0))
-                most = np.asarray(r.values.field(1))
-                to, most = to[to > cell[i]], most[to > cell[i]]
-                if not len(to):
-                    continue
-                d = np.sqrt(np.maximum(2 - 2 * (centres[to] @ u[i]), 0.0))
-                own = np.sqrt(max(2 - 2 * float(centres[cell[i]] @ u[i]), 0.0))
-                fits = (d <= most + within + SLACK) & (d <= own + 2 * within + SLACK)
-                rows.append(np.full(int(fits.sum()), i))
-                cells.append(to[fits])
-            if rows:
-                at, to = np.concatenate(rows), np.concatenate(cells)
+            if radii is not None:
+                labels, dim = np.array(b.column("label").to_pylist(), object), int(b.column("dim")[0].as_py())
+                for label in dict.fromkeys(labels):
+                    mine = np.flatnonzero(labels == label)
+                    i, to = fits(u[mine], cell[mine], *radii[label, dim])
+                    rows.append(mine[i])
+                    cells.append(to)
+            else:
+                for k, r in enumerate(b.column("radii")):
+                    i, to = fits(u[k : k + 1], cell[k : k + 1], np.asarray(r.values.field(0)), np.asarray(r.values.field(1)))
+                    rows.append(i + k)
+                    cells.append(to)
+            at, to = np.concatenate(rows), np.concatenate(cells)
+            if len(at):
                 part = b.select(["vec_id", "embedding", "times", "label", "dim"]).take(pa.array(at))
                 yield part.append_column("cell", pa.array(to, pa.int64()))
 
     return run
 
 
+def _radii(nodes: DataFrame) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] | None:
+    """The cells of each label and length with their radii, if there are few enough to send to every task."""
+    if nodes.count() > BROADCAST_NODES:
+        return None
+    t = nodes.select("label", "dim", "cell", "radius").toArrow()
+    label, dim, cell, radius = t.column(0).to_pylist(), t.column(1).to_pylist(), t.column(2).to_numpy(), t.column(3).to_numpy()
+    of: dict[tuple[str, int], list[int]] = {}
+    for i, key in enumerate(zip(label, dim, strict=True)):
+        of.setdefault(key, []).append(i)
+    return {key: (cell[i], radius[i]) for key, i in of.items()}
+
+
 def near_duplicates(vectors: DataFrame, cos: float = 0.93) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors`` (``vec_id``, ``embedding``, ``label``).
 
@@ -261,10 +286,11 @@ def near_duplicates(vectors: DataFrame, cos: float = 0.93) -> DataFrame:
     p = materialise(p, "cells")
     nodes = p.groupBy("label", "dim", "cell").agg(F.count("*").alias("size"), F.max("away").alias("radius"))
     nodes = materialise(nodes.withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "nodes")
-    radii = nodes.groupBy("label", "dim").agg(F.collect_list(F.struct("cell", "radius")).alias("radii"))
-    sent = p.join(radii, ["label", "dim"]).select("vec_id", "embedding", "times", "label", "dim", "cell", "radii")
-    within = float(np.sqrt(2 - 2 * cos))
-    sent = sent.mapInArrow(_by_dim(_sent(centres, within)), "vec_id bigint, embedding binary, times bigint, label string, dim int, cell bigint")
+    within, radii, columns = float(np.sqrt(2 - 2 * cos)), _radii(nodes), ["vec_id", "embedding", "times", "label", "dim", "cell"]
+    sent = p.select(columns)
+    if radii is None:
+        sent = p.join(nodes.groupBy("label", "dim").agg(F.collect_list(F.struct("cell", "radius")).alias("radii")), ["label", "dim"]).select(*columns, "radii")
+    sent = sent.mapInArrow(_by_dim(_sent(centres, within, radii)), "vec_id bigint, embedding binary, times bigint, label string, dim int, cell bigint")
 
     def home_block(rows: DataFrame) -> DataFrame:
         return rows.join(nodes.select("label", "dim", "cell", "blocks"), ["label", "dim", "cell"]).withColumn("own", F.pmod("vec_id", "blocks"))
