@@ -72,7 +72,13 @@ def _field(name: str) -> str:
 
 def number(name: str) -> str:
     """SQL of a payload field as a number; text and truth values are none."""
-    return f"CASE WHEN schema_of_variant({_field(name)}) RLIKE '^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)' THEN cast({_field(name)} AS DOUBLE) END"
+    return f"__n.`{name}`"
+
+
+def _numbers() -> str:
+    """The schema of all numeric fields: what is no number there reads as null."""
+    fields = {f for _, specs in TOPICS.values() for spec in specs.values() for f in ([spec] if isinstance(spec, str) else spec[1:])}
+    return ", ".join(f"`{f}` DOUBLE" for f in sorted(fields))
 
 
 def text(name: str) -> str:
@@ -101,7 +107,7 @@ def map_payloads(messages: DataFrame) -> DataFrame:
     A message of an unknown topic, that is no JSON, or without an entity or a time gives nothing; a metric without its
     numbers gives no reading. Numbering is dense from 1 a channel in order of arrival.
     """
-    m = messages.select("topic", "arrival", F.expr("try_parse_json(payload)").alias("__v"))
+    m = messages.select("topic", "arrival", F.expr("try_parse_json(payload)").alias("__v"), F.from_json("payload", _numbers(), {"allowNonNumericNumbers": "false"}).alias("__n"))
     entity = F.expr("CASE topic " + " ".join(f"WHEN '{t}' THEN {text(f)}" for t, (f, _) in TOPICS.items()) + " END")
     metrics = F.expr("CASE topic " + " ".join(
         f"WHEN '{t}' THEN array({', '.join(f"named_struct('metric', '{n}', 'value', {_metric(s)})" for n, s in specs.items())})" for t, (_, specs) in TOPICS.items()
