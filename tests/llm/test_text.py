@@ -248,6 +248,26 @@ def test_many_distances_at_a_time(monkeypatch, few):
     assert line_dedup.near_enough([], np.zeros(0, int)).shape == (0,)
 
 
+def test_pairs_of_many_groups_are_decided_together(monkeypatch):
+    import pyarrow as pa
+
+    r, calls = rng(14), []
+    near = line_dedup.near_enough
+    monkeypatch.setattr(line_dedup, "near_enough", lambda pairs, most: calls.append(len(pairs)) or near(pairs, most))
+    rows = []
+    for g in range(2000):
+        a = list("".join(r.choice(list("abcdefgh "), 60)))
+        b = list(a)
+        for k in range(0, 60, 5 if g % 2 else 3):  # more are changed than are forgiven in every other pair
+            b[k] = "x"
+        rows += [(g, g, 0, 0, 2 * g + i, "".join(x).encode()) for i, x in enumerate((a, b))]
+    columns = list(zip(*rows, strict=True))
+    batch = pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.binary())], ["near", "key", "a", "b", "node", "text"])
+    links = {(u, v) for b in line_dedup._spanned(0.8)(iter([batch])) for u, v in zip(*[c.to_pylist() for c in b.columns], strict=True)}
+    assert {tuple(sorted(x)) for x in links} == {(2 * g, 2 * g + 1) for g in range(2000) if line_dedup.similar(rows[2 * g][5].decode(), rows[2 * g + 1][5].decode())}
+    assert 900 < len(links) < 1100 and len([n for n in calls if n]) == 1
+
+
 @pytest.mark.parametrize("size", [1, 3, 7, 1000])
 def test_sets_of_keys_are_the_same_whatever_the_batches(size):
     import pyarrow as pa
