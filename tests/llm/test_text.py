@@ -474,6 +474,48 @@ def test_large_keys_lose_no_pair(spark, monkeypatch):
     assert len({x["of"] for x in line_dedup.removed_lines(table(spark, texts), distance=None).collect()}) == 59
 
 
+def test_large_sets_are_dealt_in_proportion_to_their_lines(spark, monkeypatch):
+    r, written = rng(21), {}
+    write = line_dedup.materialise
+
+    def counted(df, tag):
+        out = write(df, tag)
+        written[tag] = written.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", counted)
+    monkeypatch.setattr(line_dedup, "GROUP", 8)
+    monkeypatch.setattr(line_dedup, "SET", 4)
+    monkeypatch.setattr(line_dedup, "SHARED", 2)
+    copies = ["one long line of words that many share and each of them ends in " + words(r, 1) for _ in range(200)]
+    assert len({x["of"] for x in line_dedup.removed_lines(table(spark, copies), distance=None).collect()}) == len(copies) - 1
+    # Each of the set's lines comes to its block, some to all; its links are no more than those rows.
+    assert written["candidates"] < 6 * len(copies) and written["verified"] < 6 * len(copies)
+    assert written.get("unlinked", 0) < 6 * len(copies)
+    # Lines of four groups that share a passage, and some of no group: whatever the blocks, the groups are those of all pairs.
+    heads = [words(r, 12) for _ in range(4)]
+    mixed = [f"{heads[i % 4]} a passage that is common {words(r, 1)}" for i in range(60)]
+    mixed += [f"{words(r, 9)} a passage that is common" for _ in range(12)]
+    up = list(range(len(mixed)))
+    for i in range(len(mixed)):
+        for j in range(i):
+            if line_dedup.similar(mixed[i], mixed[j]):
+                up = [up[j] if x == up[i] else x for x in up]
+    gone = {x["of"] for x in line_dedup.removed_lines(table(spark, mixed), distance=None).collect()}
+    assert gone == {i for i in range(len(mixed)) if up.index(up[i]) != i} and 40 < len(gone) < 72
+
+
+def test_links_between_parts_join_lines_of_one():
+    import pyarrow as pa
+
+    near, far = "abcdefgh ijkl mnop qrst", "zzzz yyyy xxxx wwww vvvv"
+    rows = [(0, 0, 0, 1, 1, near, 1), (0, 0, 0, 1, 2, near + "a", 1), (0, 0, 0, 1, 3, near + "b", 7), (0, 0, 0, 1, 4, far, 7), (0, 0, 0, 1, 5, far + "a", 5)]
+    c = list(zip(*rows, strict=True))
+    batch = pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in c[:5]], pa.array([x.encode() for x in c[5]]), pa.array(c[6], pa.int64())], ["near", "key", "a", "b", "node", "text", "part"])
+    (out,) = line_dedup._spanned(0.8)(iter([batch]))
+    assert sorted(tuple(sorted(x)) for x in zip(*[y.to_pylist() for y in out.columns], strict=True)) == [(1, 7), (5, 7)]
+
+
 def test_short_lines_take_part(spark):
     texts = ["les.\nand ornd.", "Les\nx y z w", "and ornd\n--\n\nles", "--\n\nx y z w!"]
     for distance in (3, None):
