@@ -248,6 +248,77 @@ def test_many_distances_at_a_time(monkeypatch, few):
     assert line_dedup.near_enough([], np.zeros(0, int)).shape == (0,)
 
 
+def test_insertions_as_long_as_the_limit_are_near():
+    r = rng(15)
+    for n in (100, 130, 400):
+        pairs = []
+        for _ in range(40):
+            a, k = "".join(r.choice(list("abcd "), n)), int(r.integers(0, n))
+            pairs.append((a, a[:k] + "".join(r.choice(list("abcd "), n // 5)) + a[k:]))
+        far = np.array([line_dedup.edit_distance(a, b) for a, b in pairs])
+        assert (far == n // 5).all()
+        assert line_dedup.near_enough(pairs, far).all() and not line_dedup.near_enough(pairs, far - 1).any()
+
+
+def syllables(r, n):
+    return "".join(r.choice(["th", "er ", "an", "on ", "ing", "ed ", "le", "re", "at", "é", "日 "], n))
+
+
+def test_misplaced_pairs_are_far_apart():
+    r, pairs = rng(16), []
+    for _ in range(600):
+        a = syllables(r, int(r.integers(1, 300)))
+        b, many, k = list(a), int(r.integers(1, 2 + len(a) // 5)), int(r.integers(0, len(a)))
+        kind = r.integers(0, 3)
+        if kind == 0:
+            b[k:k] = syllables(r, many)[:many]
+        elif kind == 1:
+            del b[k : k + many]
+        else:
+            for k in r.integers(0, len(a), many):
+                b[k : k + int(r.integers(0, 2))] = str(r.choice(["", "x", "ü"]))
+        pairs.append((a, "".join(b) or "x"))
+    far = np.array([line_dedup.edit_distance(a, b) for a, b in pairs])
+    places = line_dedup._Places([x for p in pairs for x in p])
+    u = np.arange(0, 1200, 2)
+    assert not line_dedup._misplaced(places, u, u + 1, far).any() and not line_dedup._misplaced(places, u + 1, u, far).any()
+    assert line_dedup._misplaced(places, u, u, np.full(600, -1)).all()
+
+
+def test_few_distances_of_unlike_lines_are_taken(monkeypatch):
+    import pyarrow as pa
+
+    r, calls, near = rng(17), [], line_dedup.near_enough
+    monkeypatch.setattr(line_dedup, "near_enough", lambda pairs, most: calls.append(len(pairs)) or near(pairs, most))
+    texts = [syllables(r, 120)[:250] for _ in range(120)]
+    texts += [x[:100] + "zz" + x[104:] for x in texts[:20]]
+    one = pa.array([0] * len(texts), pa.int64())
+    batch = pa.RecordBatch.from_arrays([one, one, one, one, pa.array(range(len(texts)), pa.int64()), pa.array([x.encode() for x in texts], pa.binary())], ["near", "key", "a", "b", "node", "text"])
+    links = {tuple(sorted(x)) for b in line_dedup._spanned(0.8)(iter([batch])) for x in zip(*[c.to_pylist() for c in b.columns], strict=True)}
+    assert links == {(i, 120 + i) for i in range(20)}
+    assert sum(calls) < 200  # of 9,730 pairs
+
+
+@pytest.mark.parametrize("room", [40, 1 << 21])
+def test_packed_keys_give_the_same_sets(monkeypatch, room):
+    import pyarrow as pa
+
+    monkeypatch.setattr(line_dedup, "UNPACKED", room)
+    r = rng(18)
+    keys = r.integers(-(2**63), 2**63 - 1, 600)
+    keys = np.r_[keys[r.integers(0, 600, 4000)], np.repeat(keys[:2], (300, 100))]
+    nodes = r.integers(-150, 150, len(keys))
+    order = np.argsort(keys)
+
+    def rows(batches):
+        return {x for b in batches for x in zip(*[c.to_pylist() for c in b.columns], strict=True)}
+
+    want = rows(line_dedup._sets(12)(iter([pa.RecordBatch.from_arrays([pa.array(keys[order]), pa.array(nodes[order])], ["key", "node"])])))
+    packed = pa.Table.from_batches([line_dedup._packed(keys[i::9], nodes[i::9], 5) for i in range(9)]).sort_by("bucket")
+    assert packed.num_rows <= 9 * 32 and {x[0] for x in want} == {0, 1}
+    assert rows(line_dedup._unpacked(12)(iter(packed.to_batches(max_chunksize=7)))) == want
+
+
 def test_pairs_of_many_groups_are_decided_together(monkeypatch):
     import pyarrow as pa
 
